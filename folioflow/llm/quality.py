@@ -21,7 +21,7 @@ from .workspace import cut, spare_name
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 
 #: name, vote good below or from this value, vote bad beyond that value: between them the rule abstains.
 #: ``low`` rules say good at or under the first value and bad over the second; ``high`` rules the reverse.
@@ -32,7 +32,6 @@ RULES = (
     ("repeats", "low", 0.15, 0.30),
     ("shouts", "low", 0.05, 0.20),
     ("word_length", "low", 11.0, 16.0),
-    ("variety", "high", 0.25, 0.12),
     ("letters", "high", 0.92, 0.85),
     ("well_formed", "high", 0.90, 0.70),
 )
@@ -98,15 +97,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     df = df.select(
         *keep,
         n.cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace(t, SPACE_RUN, "")).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        count(SYMBOL).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeat_words(w, F.col(keys)).alias("n_repeat_words"),
         F.size(lines).alias("v_lines"),
-        F.size(F.array_distinct(w)).alias("v_distinct"),
-        (F.char_length(t) - F.char_length(F.translate(t, "!", ""))).alias("v_shouts"),
+        (F.char_length(t) - F.char_length(F.replace(t, F.lit("!"), F.lit("")))).alias("v_shouts"),
         count(r"\p{Lu}").alias("v_upper"),
-        count(r"\p{L}").alias("v_letters"),
+        F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")).alias("v_letters"),
         count(r"(?<!\S)[\p{L}\p{M}'’-]+[.,;:!?]?(?!\S)").alias("v_formed"),
     )
     nw = F.col("n_words")
@@ -118,7 +116,6 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         "repeats": share(F.col("n_repeat_words"), nw),
         "shouts": share(F.col("v_shouts"), nw),
         "word_length": share(F.col("word_chars"), nw),
-        "variety": share(F.col("v_distinct"), F.least(nw, F.lit(400))),
         "letters": share(F.col("v_letters"), F.col("word_chars")),
         "well_formed": share(F.col("v_formed"), nw),
     }
