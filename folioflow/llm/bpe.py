@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .workspace import ship
+
 #: Fixed: white space in the pattern language of the vocabulary.
 SPACES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 BLOCK_CHARS = 6_000_000
@@ -276,6 +278,7 @@ def tokenise(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col:
                 packed = pa.array([x.astype("<u4").tobytes() for x in coder.encode(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), packed], [*names, ids_col])
 
+    ship(docs.sparkSession)
     return docs.select(*names, text_col).mapInArrow(run, schema)
 
 
@@ -294,4 +297,5 @@ def detokenise(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", text_c
                 texts = [None if x is None else decode(vocabulary, np.frombuffer(x, "<u4")) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, text_col])
 
+    ship(encoded.sparkSession)
     return encoded.select(*names).mapInArrow(run, schema)

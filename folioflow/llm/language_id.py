@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import blocks
-from .workspace import cut
+from .workspace import cut, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -75,6 +75,7 @@ def train(docs: DataFrame, sample_docs: int = 3000, text_col: str = "text", lang
     Rows without label or text teach nothing; a table without labels gives a model without languages.
     """
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
+    ship(docs.sparkSession)
     rate = min(1.0, sample_docs / max(1, docs.count()))
     low = F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1 << 30)) < int(rate * (1 << 30))
 
@@ -232,4 +233,5 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", penalty: float
                 made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], arrow)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, "lang_pred", "score", "spans"])
 
+    ship(docs.sparkSession)
     return docs.select(*names, text_col).mapInArrow(run, T.StructType([*others, *results]))

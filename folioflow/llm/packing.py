@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import blocks, byte_letters
+from .workspace import ship
 
 CAPACITY = 1024
 SENTENCE_PENALTY, SPLIT_PENALTY = 2, 16
@@ -235,4 +236,5 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
         if key_type is not None:
             yield emit(True)
 
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

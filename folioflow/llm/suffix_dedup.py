@@ -22,6 +22,7 @@ singly, by their own 100 bytes. Contexts are compared as pairs of independent 64
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_sort import lay_out, long_common, suffix_array
+from .workspace import ship
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # grams in a window
@@ -175,10 +177,10 @@ def _batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[li
             yield [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _group(batches: Iterator[pa.RecordBatch], limit: int = HOT) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor, context, key and place: settled ranges, and representatives to compare.
 
-    State carried between batches is one anchor's representatives, at most ``HOT`` of them.
+    State carried between batches is one anchor's representatives, at most ``limit`` of them.
     """
 
     def out(anchor, key, at):
@@ -217,7 +219,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(anchor[go], key[go], at[go])
         carry = [x[~closed] for x in (anchor, context, key, at)]
         is_hot = hot is not None and carry[0][0] == hot
-        if is_hot or len(carry[0]) > HOT:
+        if is_hot or len(carry[0]) > limit:
             send = slice(1, None) if is_hot else slice(0, None)
             if len(carry[0][send]):
                 yield out(carry[0][send], carry[2][send], carry[3][send] ^ np.int64(OPEN ^ HOT_OPEN))
@@ -309,9 +311,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out(keys[owner], pack_place(low[owner] + at, span, SETTLED))
 
     rows: list[tuple] = []
-    held, edge = 0, 0  # bytes gathered; where the latest anchor starts
-    seen: set[bytes] = set()  # of the latest hot window's hash: second hashes met
-    hot_anchor, firsts = None, {}
+    held = 0  # bytes gathered
+    hot_anchor, firsts = None, {}  # of the latest hot window's hash: the earliest row of each second hash
     for batch in batches:
         gone_key, gone_at = [], []
         columns = [batch.column(n).to_pylist() for n in ("anchor", "key", "at", "data")]
@@ -360,7 +361,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array([len(x) for x in batch.column("data").to_pylist()], pa.int64())], ["id", "kept", "removed", "n_bytes"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: id, kept (bytes), removed (spans in bytes), n_bytes.
 
     Texts are UTF-8 bytes, null ones empty; texts under 100 bytes lose nothing. Ids are whole numbers;
@@ -368,6 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with one id and different texts, all lose what any of them would. Only the two named columns are
     read. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -375,7 +377,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = docs.select(F.col(id_col).alias("id"), key.alias("key"), data.alias("data")).repartition(n, "key")
     stretches = dealt.select("key", "data").mapInArrow(_find, "anchor long, context long, key long, at long")
     sorted_ = stretches.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "key", "at")
-    grouped = sorted_.select("anchor", "context", "key", "at").mapInArrow(_group, "anchor long, key long, at long")
+    grouped = sorted_.select("anchor", "context", "key", "at").mapInArrow(partial(_group, limit=hot), "anchor long, key long, at long")
     lists = grouped.repartition(n, "key").groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"))
     todo = lists.filter(F.exists("ats", lambda x: x.bitwiseAND(F.lit(3)) != SETTLED))
     fetched = dealt.select("key", "data").join(todo, "key").select("key", "data", "anchors", "ats")

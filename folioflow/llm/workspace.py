@@ -8,7 +8,9 @@ context cleaner removes the files once no plan refers to them, when
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,17 @@ def spare_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_folioflow_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="folioflow-ship-")) / "folioflow-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._folioflow_shipped = True
