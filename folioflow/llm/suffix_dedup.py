@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import Hasher, U, mixed
 from .suffix_sort import lay_out, long_common, suffix_array
 from .workspace import ship
 
@@ -37,46 +38,9 @@ REACH = LENGTH - GRAM + 1  # grams in a window
 BLOCK = 1 << 22
 SORT_BYTES = 3_000_000
 HOT = 20_000
-U = np.uint64
-BASE = 0x9E3779B97F4A7C15
 SETTLED, OPEN, HOT_OPEN = 0, 1, 2
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * U(pow(base, done, 1 << 64))
-        done += more
-    return out
-
-
-class Hasher:
-    """Prefix sums of byte values times powers, from which any substring's hash follows at once."""
-
-    def __init__(self, seed: int):
-        self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=U) | U(1)
-        self.up, self.down = np.ones(1, U), np.ones(1, U)
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(data):
-            n = max(BLOCK, len(data)) + 1
-            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
-        out = np.zeros(len(data) + 1, U)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((sums[end] - sums[start]) * self.down[start])
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def pack_place(low: np.ndarray, span: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     """First window's place, number of windows after it, and kind, in one number."""
     return (low.astype(np.int64) << 32) | (span.astype(np.int64) << 2) | kind
