@@ -28,8 +28,7 @@ from .workspace import cut, ship, spare_name
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
-#: Bits of the sketch that may differ: at similarity 0.8, 18 of 180 do on average; this is 6 deviations more.
-SKETCH_SLACK = 42
+VOID = (1 << 63) - 1  # stands for a null id
 BLOCK = 1 << 22
 
 
@@ -47,9 +46,12 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
+def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
+    return signatures(elements, np.ones(len(elements)), owner, n, k)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], sign, bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(5)
-    k = bands * rows
     for batch in batches:
         for part, texts in _blocks(batch):
             n = len(texts)
@@ -59,7 +61,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int)
             ends = np.cumsum(counts)
             sums = [np.concatenate((np.zeros(1, U), np.cumsum(mixed(elements ^ U(s))))) for s in (0x1234567, 0x89ABCDE)]
             one, two = (mixed(x[ends] - x[ends - counts] + counts.astype(U)).view(np.int64) for x in sums)
-            sig = signatures(elements, np.ones(len(elements)), owner, n, k)
+            sig = sign(elements, owner, n, bands * rows)
             keys = np.zeros((n, bands), U)
             for r in range(rows):
                 keys = mixed(keys * U(31) + sig[:, r::rows] + U(1))
@@ -95,30 +97,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(shared >= threshold * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def _needed_sets(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _needed_sets(items: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """Shingle sets of the classes that occur in ``pairs``."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    found = texts.join(wanted, "key", "left_semi").select("key", "data")
-    return found.mapInArrow(lambda batches: _sets(batches, width), "key long, items array<long>").dropDuplicates(["key"])
+    found = items.join(wanted, "key", "left_semi").select("key", "data")
+    kind = items.schema["key"].dataType.simpleString()
+    return found.mapInArrow(lambda batches: _sets(batches, width), f"key {kind}, items array<bigint>").dropDuplicates(["key"])
 
 
-def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """One row per row of ``docs``: id, group_id (least id of its group), group_size, n_links, kept.
+def group_items(items: DataFrame, sign, bands: int, rows: int, threshold: float = THRESHOLD, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Group ``items`` (key, data) by near-duplication of their word shingles.
 
-    ``n_links`` counts the verified comparisons of the row's class with other classes. The least id of a
-    group stays. Ids are whole numbers; a null id counts as the largest, and rows that share an id share
-    a group. Words are parted by ASCII white space and compared as they are; a text of one to four words
-    is one shingle; null texts and texts without words stand alone. Only the two named columns are read,
-    and an empty table gives no rows.
+    Keys may be of any type that has an order. ``sign`` maps distinct shingles, their items' numbers, the
+    number of items and of coordinates to signatures. Returns (key, group, n_links) of the items with
+    words, where a group is named by its least key, and the keys of items without words.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    schema = "key long, one long, two long, n long, bands array<long>, sketch array<long>"
-    signed = cut(texts.mapInArrow(lambda batches: _sign(batches, bands, rows, width), schema))
+    ship(items.sparkSession)
+    kind = items.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, one bigint, two bigint, n bigint, bands array<bigint>, sketch array<bigint>"
+    signed = cut(items.select("key", "data").mapInArrow(lambda batches: _sign(batches, sign, bands, rows, width), schema))
 
     named = cut(signed.filter("n > 0").groupBy("one", "two").agg(F.min("key").alias("class")))
     members = signed.select("key", "one", "two", "n").filter("n > 0").join(named, ["one", "two"]).select("key", "class")
@@ -131,31 +128,53 @@ def classes(
     crowd = cut(spots.join(buckets, ["band", "value"]).select("band", "value", "key", "n", "lead", "lead_n"))
     alike = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
     pairs = cut(crowd.filter((F.col("key") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct())
-    links = cut(_verified(pairs, _needed_sets(texts, pairs, width), threshold))
+    links = cut(_verified(pairs, _needed_sets(items, pairs, width), threshold))
 
     parts = cut(connected_components(links))
     placed = crowd.join(parts.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.select("band", "value", "key", "n", F.coalesce("component", "key").alias("part"))
-    mixed_ = placed.groupBy("band", "value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("band", "value")
-    rest = cut(placed.join(mixed_, ["band", "value"]).join(leads.select("key", "sketch"), "key"))
+    several = placed.groupBy("band", "value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("band", "value")
+    rest = cut(placed.join(several, ["band", "value"]).join(leads.select("key", "sketch"), "key"))
     other = rest.select("band", "value", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("sketch").alias("sketch_b"))
     apart = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (apart <= SKETCH_SLACK * bands * rows / 180)
+    near = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (apart <= _slack(bands * rows, threshold))
     across = rest.join(other, (rest["band"] == other["band"]) & (rest["value"] == other["value"]) & (F.col("part") < F.col("part_b")) & near)
     across = across.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
     across = cut(across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_verified(across, _needed_sets(texts, across, width), threshold)))
-
-    parts = cut(connected_components(links))
+    if not across.isEmpty():
+        links = cut(links.unionByName(_verified(across, _needed_sets(items, across, width), threshold)))
+        parts = cut(connected_components(links))
     ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
     degree = ends.groupBy("class").agg(F.count("*").alias("n_links"))
     seen = members.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").join(degree, "class", "left")
-    seen = cut(seen.select("key", F.coalesce("component", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return seen.select("key", F.coalesce("component", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links")), signed.filter("n = 0").select("key")
+
+
+def _slack(bits: int, threshold: float) -> float:
+    """Sketch bits that may differ: what is expected at the threshold and six deviations more."""
+    p = (1 - threshold) / 2
+    return bits * p + 6 * (bits * p * (1 - p)) ** 0.5
+
+
+def classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row per row of ``docs``: id, group_id (least id of its group), group_size, n_links, kept.
+
+    ``n_links`` counts the verified comparisons of the row's class with other classes. The least id of a
+    group stays. Ids are whole numbers; a null id counts as the largest, and rows that share an id share
+    a group. Words are parted by ASCII white space and compared as they are; a text of one to four words
+    is one shingle; null texts and texts without words stand alone. Only the two named columns are read,
+    and an empty table gives no rows.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(VOID))
+    items = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    seen, bare = group_items(items, dart_signatures, bands, rows, threshold, width)
+    seen = cut(seen)
     sizes = cut(seen.groupBy("group").agg(F.count("*").alias("group_size")))
-    alone = signed.filter("n = 0").select("key", F.col("key").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
+    alone = bare.select("key", F.col("key").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
     out = seen.join(sizes, "group").select("key", "group", "n_links", "group_size").unionByName(alone)
-    void = (1 << 63) - 1
-    back = lambda c: F.when(F.col(c) != void, F.col(c)).cast(docs.schema[id_col].dataType)
+    back = lambda c: F.when(F.col(c) != VOID, F.col(c)).cast(docs.schema[id_col].dataType)
     return out.select(back("key").alias(id_col), back("group").alias("group_id"), "group_size", "n_links", (F.col("key") == F.col("group")).alias("kept"))
 
 

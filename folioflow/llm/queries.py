@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, near_dedup, packing, quality, secrets, suffix_dedup
+from . import bpe, chat, exact_dedup, language_id, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.collapse(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "n_turns", "status", "kept", "rendered")
+
+
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_paragraphs(docs)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"), F.sha2(text, 256).alias("kept_sha256")
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +78,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_bpe_round_trip, op5_language_id, op6_minhash_near_dedup, op7_quality_rules, op9_secret_scan, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_packing, op4_bpe_round_trip, op5_language_id, op6_minhash_near_dedup, op7_quality_rules, op8_paragraph_dedup, op9_secret_scan, op10_suffix_dedup)}
 
 
 OP1_SQL = r"""
