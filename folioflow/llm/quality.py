@@ -52,27 +52,28 @@ ON_GOOD, ON_BAD = (0.95, 0.995), (0.1, 0.98)
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN))
 
 
-def _repeat_words(words: Column, keys: Column) -> Column:
-    """Words inside three-word windows found twice or more; ``keys`` are the windows' 64-bit hashes.
+def _placed(keys: Column) -> Column:
+    """Sorted (hash, place) pairs of a text's windows; null where no two windows are equal."""
+    pairs = F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.sort_array(pairs))
 
-    Sorted (hash, place) pairs put equal windows side by side; each flagged window then adds the words
-    that the flagged window before it has not covered.
-    """
-    placed = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    blank = F.struct(F.lit(None).cast("long").alias("h"), F.lit(-9).alias("i"))
-    before = F.concat(F.array(blank), F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))))
-    after = F.concat(F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))), F.array(blank))
-    trio = F.arrays_zip(placed.alias("p"), before.alias("b"), after.alias("a"))
-    hit = F.filter(trio, lambda t: (t["p"]["h"] == F.coalesce(t["b"]["h"], t["p"]["h"] + 1)) | (t["p"]["h"] == F.coalesce(t["a"]["h"], t["p"]["h"] + 1)))
-    at = F.array_sort(F.transform(hit, lambda t: t["p"]["i"]))
-    end = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate(
-        at, end, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"]
-    )
-    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), F.lit(0)).otherwise(covered).cast("long")
+
+def _repeated(placed: Column) -> Column:
+    """Places, ascending, of the windows that equal a neighbour in hash order."""
+    n = F.size(placed)
+    same = F.zip_with(F.slice(placed, 1, n - 1), F.slice(placed, 2, n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+
+
+def _covered(places: Column) -> Column:
+    """Words in windows of three that begin at ``places``: each adds what the one before has not covered."""
+    n = F.size(places)
+    steps = F.zip_with(F.slice(places, 1, n - 1), F.slice(places, 2, n - 1), lambda a, b: F.least(F.lit(3), b - a))
+    return F.when(places.isNull() | (n == 0), F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda s, x: s + x)).cast("long")
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -81,17 +82,20 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     Null and empty texts have no words and zeros everywhere.
     """
     keep = [id_col] if keep is None else keep
-    text, words, keys = (spare_name(docs.columns, c) for c in ("q_text", "q_words", "q_keys"))
+    text, words, hashes, placed, repeated, lines_of = (spare_name(docs.columns, c) for c in ("q_text", "q_words", "q_hashes", "q_placed", "q_repeated", "q_lines"))
     df = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn(words, _words(F.col(text)))
     w = F.col(words)
     n = F.size(w)
-    # One array per word of the window, so that the hash runs over three aligned columns.
-    trio = F.arrays_zip(w.alias("x"), F.slice(w, 2, F.greatest(n, F.lit(0))).alias("y"), F.slice(w, 3, F.greatest(n, F.lit(0))).alias("z"))
-    keyed = F.transform(F.slice(trio, 1, F.greatest(n - 2, F.lit(0))), lambda t: F.xxhash64(t["x"], t["y"], t["z"]))
-    df = df.withColumn(keys, keyed)
+    df = df.withColumn(hashes, F.transform(w, lambda x: F.xxhash64(x)))
+    part = lambda i: F.slice(F.col(hashes), i, F.greatest(n - 2, F.lit(0)))
+    pair = F.zip_with(part(1), part(2), lambda a, b: F.xxhash64(a, b))
+    keys = spare_name(docs.columns, "q_keys")
+    df = df.withColumn(keys, F.zip_with(pair, part(3), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn(placed, _placed(F.col(keys))).withColumn(repeated, _repeated(F.col(placed)))
     t = F.col(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    df = df.withColumn(lines_of, F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    lines = F.col(lines_of)
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     df = df.select(
@@ -100,23 +104,24 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         count(SYMBOL).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(w, F.col(keys)).alias("n_repeat_words"),
+        _covered(F.col(repeated)).alias("n_repeat_words"),
         F.size(lines).alias("v_lines"),
         (F.char_length(t) - F.char_length(F.replace(t, F.lit("!"), F.lit("")))).alias("v_shouts"),
         count(r"\p{Lu}").alias("v_upper"),
-        F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")).alias("v_letters"),
-        count(r"(?<!\S)[\p{L}\p{M}'’-]+[.,;:!?]?(?!\S)").alias("v_formed"),
+        count(r"[^\p{L}\x20\x09-\x0D]").alias("v_marks"),
+        F.regexp_count(F.concat(t, F.lit(" ")), F.lit(r"\s(?<=\p{L}[.,;:!?]?\s)")).alias("v_formed"),
     )
     nw = F.col("n_words")
     df = df.withColumn("base_failed", (nw < 50) | (100 * F.col("n_repeat_words") > 50 * nw))
+    letters = F.col("word_chars") - F.col("v_marks")
     values = {
         "symbols": share(F.col("n_symbols"), nw),
-        "capitals": share(F.col("v_upper"), F.col("v_letters")),
+        "capitals": share(F.col("v_upper"), letters),
         "dup_lines": share(F.col("n_dup_lines"), F.col("v_lines")),
         "repeats": share(F.col("n_repeat_words"), nw),
         "shouts": share(F.col("v_shouts"), nw),
         "word_length": share(F.col("word_chars"), nw),
-        "letters": share(F.col("v_letters"), F.col("word_chars")),
+        "letters": share(letters, F.col("word_chars")),
         "well_formed": share(F.col("v_formed"), nw),
     }
     votes = []
