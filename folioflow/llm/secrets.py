@@ -93,7 +93,7 @@ def _rows(counts: dict[int, int]) -> list[float]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 400, threshold: float = 0.9) -> Markov:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 400, threshold: float = 0.75) -> Markov:
     """Fit both models on a sample that is expected to hold ``sample_docs`` documents at any size.
 
     Labels come from the base patterns: values of base spans are random strings, the documents' words,
