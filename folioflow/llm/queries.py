@@ -89,5 +89,28 @@ FROM k WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id)
 """
 
 
+OP2_SQL = """
+WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns FROM r GROUP BY conv_id),
+h AS (SELECT conv_id, turns, len(turns) AS n, md5(turns::VARCHAR) AS whole FROM c),
+p AS (SELECT DISTINCT md5(list_slice(turns, 1, i)::VARCHAR) AS pre FROM (SELECT turns, unnest(range(1, n)) AS i FROM h)),
+s AS (SELECT *, CASE WHEN whole IN (SELECT pre FROM p) THEN 'snapshot' WHEN conv_id = min(conv_id) OVER (PARTITION BY whole) THEN 'kept' ELSE 'copy' END AS status FROM h)
+SELECT conv_id, n AS n_turns, status, status = 'kept' AS kept, CASE WHEN status = 'kept' THEN
+  array_to_string(list_transform(turns, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') END AS rendered FROM s
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(hx, 2 * s + 1, 200)) AS h FROM (SELECT doc_id, hx, unnest(range(0, greatest(n - 99, 0))) AS s FROM d)),
+g AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+b AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM g),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM b),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS e FROM i GROUP BY doc_id, run),
+q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(hx), 2 * max(e) + 1) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_suffix_dedup": OP10_SQL}
