@@ -36,7 +36,7 @@ class Hasher:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(data):
-            n = max(1 << 22, len(data)) + 1
+            n = max(1 << 20, len(data)) + 1
             self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
         out = np.zeros(len(data) + 1, U)
         np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])

@@ -35,8 +35,8 @@ from .workspace import ship
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # grams in a window
-BLOCK = 1 << 22
-SORT_BYTES = 3_000_000
+BLOCK = 1 << 20
+SORT_BYTES = 1_000_000
 HOT = 20_000
 SETTLED, OPEN, HOT_OPEN = 0, 1, 2
 
@@ -200,11 +200,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     finder = Finder()
     for batch in batches:
         anchors, keys, places, data = [], [], [], []
-        for key, text, todo, names in zip(
-            batch.column("key").to_pylist(), batch.column("data").to_pylist(), batch.column("ats").to_pylist(), batch.column("anchors").to_pylist(), strict=True
-        ):
-            hot = [at for at in todo if at & 3 == HOT_OPEN]
-            for at, anchor in zip(todo, names, strict=True):
+        for key, text, todo in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            hot = [x["at"] for x in todo if x["at"] & 3 == HOT_OPEN]
+            for x in todo:
+                anchor, at = x["anchor"], x["at"]
                 if at & 3 == OPEN:
                     lo, span = at >> 32, (at >> 2) & ((1 << 30) - 1)
                     anchors.append(anchor)
@@ -337,18 +336,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    # One exchange of the texts, by document, feeds the search, the fetch and the cutting.
-    dealt = docs.select(F.col(id_col).alias("id"), key.alias("key"), data.alias("data")).repartition(n, "key")
-    stretches = dealt.select("key", "data").mapInArrow(_find, "anchor long, context long, key long, at long")
+    # One exchange of the texts, by document, feeds the search, the fetch and the cutting: all three must
+    # ask for the same columns to share it. The same holds for the exchange of what was found.
+    dealt = docs.select(key.alias("key"), data.alias("data")).repartition(n, "key")
+    stretches = dealt.mapInArrow(_find, "anchor long, context long, key long, at long")
     sorted_ = stretches.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "key", "at")
     grouped = sorted_.select("anchor", "context", "key", "at").mapInArrow(partial(_group, limit=hot), "anchor long, key long, at long")
-    lists = grouped.repartition(n, "key").groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"))
-    todo = lists.filter(F.exists("ats", lambda x: x.bitwiseAND(F.lit(3)) != SETTLED))
-    fetched = dealt.select("key", "data").join(todo, "key").select("key", "data", "anchors", "ats")
+    lists = grouped.repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("found"))
+    todo = lists.withColumn("found", F.filter("found", lambda x: x["at"].bitwiseAND(F.lit(3)) != SETTLED)).filter(F.size("found") > 0)
+    fetched = dealt.join(todo, "key").select("key", "data", "found")
     contexts = fetched.mapInArrow(_contexts, "anchor long, key long, at long, data binary")
     compared = contexts.repartition(n, "anchor").sortWithinPartitions("anchor", "key", "at").mapInArrow(_compare, "key long, at long")
     more = compared.repartition(n, "key").groupBy("key").agg(F.collect_list("at").alias("more"))
-    joined = dealt.join(lists.select("key", "ats"), "key", "left").join(more, "key", "left").select("id", "data", "ats", "more")
+    settled = lists.select("key", F.filter(F.transform("found", lambda x: x["at"]), lambda x: x.bitwiseAND(F.lit(3)) == SETTLED).alias("ats"))
+    back = F.when(F.col("key") != (1 << 63) - 1, F.col("key")).cast(docs.schema[id_col].dataType).alias("id")
+    joined = dealt.join(settled, "key", "left").join(more, "key", "left").select(back, "data", "ats", "more")
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.mapInArrow(_cut_out, f"id {kind}, kept binary, removed array<struct<start:bigint,end:bigint>>, n_bytes long")
     return out.withColumnRenamed("id", id_col)
