@@ -8,6 +8,7 @@ context cleaner removes the files once no plan refers to them, when
 
 from __future__ import annotations
 
+import gc
 import pathlib
 import tempfile
 import zipfile
@@ -28,10 +29,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and return a table that reads it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Compute ``df`` once into the shared folder and return a table that reads it back.
+
+    ``release`` then lets Spark's cleaner drop the shuffle files of what led here: it does so for plans
+    that the driver's garbage collector has found unused, which otherwise may take half an hour.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if release:
+        del df
+        release_unused(spark)
+    return out
+
+
+def release_unused(spark: SparkSession) -> None:
+    """Have the driver find plans that nothing refers to any more, so that their files can go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def spare_name(columns: list[str], wanted: str) -> str:
