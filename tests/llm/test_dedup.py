@@ -87,11 +87,12 @@ def test_near_finds_links_beside_the_bucket_lead(spark):
     assert {r["group_id"] for r in near_dedup.classes(df).collect()} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 9), (7, 8), (8, 7), (None, 1), *[(20, k) for k in range(21, 60)]]
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9, 7: 7, 8: 7, **{k: 20 for k in range(20, 60)}}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
