@@ -198,6 +198,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     model = fit(features(docs, id_col, text_col, keep=[]))
     held = spare_name(docs.columns, "held_row")
     rows = docs.withColumn(held, F.struct(*docs.columns))
-    judged = features(rows, id_col, text_col, keep=[held])
-    good = judged.filter(~F.col("base_failed") & (posterior(model) >= threshold))
+    # A column that isn't deterministic keeps the filter above the features: pushed below, it would hold
+    # each of their expressions many times over.
+    place = spare_name(docs.columns, "row_place")
+    judged = features(rows, id_col, text_col, keep=[held]).withColumn(place, F.monotonically_increasing_id())
+    good = judged.filter((F.col(place) >= 0) & ~F.col("base_failed") & (posterior(model) >= threshold))
     return good.select(*[F.col(held).getField(c).alias(c) for c in docs.columns])
