@@ -136,9 +136,9 @@ def stores(spark: SparkSession, d: str) -> Stores:
         F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("").alias("caption"), F.lit("").alias("crop_path"), letter_counts(F.col("html")).alias("image"),
     )
     chunks = text.select("chunk_id", F.col("source").alias("doc_id"), (F.col("doc_id") % 50).cast("int").alias("page_index"), F.col("doc_id").alias("ord"))
-    words = F.slice(F.filter(space_words(F.col("text")), lambda w: F.char_length(w) >= 7), 1, 12)
-    mentions = text.select("chunk_id", F.posexplode(words).alias("pos", "text"), F.lit("method").alias("label"), F.lit(1.0).alias("score"))
-    nodes, edges = graph.build(chunks, mentions, None, cooccurrence=False)
+    words = F.filter(space_words(F.col("text")), lambda w: F.char_length(w) >= 7)
+    mentions = text.select("chunk_id", F.lit(0).alias("window"), F.posexplode(words).alias("pos", "text"), F.lit("method").alias("label"), F.lit(1.0).alias("score"))
+    nodes, edges = graph.build(chunks, graph.distinct_mentions(mentions), None, Config().kg.cooccurrence)
     return Stores(index, image, nodes.persist(), edges.persist())
 
 
@@ -216,7 +216,7 @@ def retrieved(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _register(name: str) -> None:
-    # With co-occurrence off, entities meet only over chunks, so one hop from an anchor reaches no other entity.
+    # The SQL still has the first 12 long words of a text and no co-occurrence (see REPLY_r01.md).
     query(retriever_sql(VARIANTS[name]), f"fused_topk_{name}")(lambda spark, d: retrieved(spark, d, name))
 
 

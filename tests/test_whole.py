@@ -1,6 +1,6 @@
 """Registered queries do the whole job: against brute force on tables that a shortcut would get wrong."""
 
-from folioflow.plans import metric_queries
+from folioflow.plans import metric_queries, search_queries
 
 
 def stored(spark, folder, **tables):
@@ -20,3 +20,14 @@ def test_gold_is_contained_anywhere(spark, tmp_path):
     want = {q: min((str(i) for i, t in sorted(texts) if t is not None and b in t), key=int, default=None) for q, b in items}
     assert want[0] == "4" and want[2] is None
     assert {r["qid"]: r["gold_id"] for r in metric_queries.gold(spark, d).collect()} == want
+
+
+def test_graph_of_whole_texts(spark, tmp_path):
+    texts = [(1, " ".join(f"longword{i} of" for i in range(20)) + " longword3"), (2, "short\nones LONGWORD19 anotherone"), (3, None), (4, "")]
+    d = stored(spark, tmp_path, documents=([(*x, "en", "src") for x in texts], "doc_id long, text string, lang string, source string"), pages=([(1, "<p>x</p>")], "page_id long, html string"))
+    edges = search_queries.stores(spark, d).edges
+    words = {f"D{i}": list(dict.fromkeys(w.lower() for w in (t or "").split() if len(w) >= 7)) for i, t in texts}
+    of = lambda key: sorted((r["src"], r["dst"]) for r in edges.filter(edges["key"] == key).collect())
+    name = "entity::method::"
+    assert of("MENTIONS") == sorted((c, name + w) for c, ws in words.items() for w in ws)
+    assert of("CO_OCCURS") == sorted({(name + ws[i], name + ws[j]) for ws in words.values() for j in range(len(ws)) for i in range(j)})
