@@ -1,6 +1,6 @@
 """Registered queries do the whole job: against brute force on tables that a shortcut would get wrong."""
 
-from folioflow.plans import metric_queries, search_queries
+from folioflow.plans import graph_queries, metric_queries, search_queries, text_queries
 
 
 def stored(spark, folder, **tables):
@@ -31,3 +31,10 @@ def test_graph_of_whole_texts(spark, tmp_path):
     name = "entity::method::"
     assert of("MENTIONS") == sorted((c, name + w) for c, ws in words.items() for w in ws)
     assert of("CO_OCCURS") == sorted({(name + ws[i], name + ws[j]) for ws in words.values() for j in range(len(ws)) for i in range(j)})
+
+
+def test_every_customer_asks_about_all_parts(spark, tmp_path):
+    keys = [1, 5, 12, 13, 20, 399, 1000]
+    d = stored(spark, tmp_path, customer=([(k,) for k in keys], "c_custkey long"), part=([(k,) for k in range(1, 701)], "p_partkey long"))
+    got = {r["qid"]: r["question"] for r in graph_queries.asked(spark, d).collect()}
+    assert got == {k: f"who ships (part {1 + k * 7 % 700}) or Part {1 + k * 3 % 700}, not part 17x?" for k in keys}
