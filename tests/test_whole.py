@@ -1,5 +1,8 @@
 """Registered queries do the whole job: against brute force on tables that a shortcut would get wrong."""
 
+import datetime
+import hashlib
+
 from folioflow.plans import graph_queries, metric_queries, search_queries, text_queries
 
 
@@ -38,3 +41,18 @@ def test_every_customer_asks_about_all_parts(spark, tmp_path):
     d = stored(spark, tmp_path, customer=([(k,) for k in keys], "c_custkey long"), part=([(k,) for k in range(1, 701)], "p_partkey long"))
     got = {r["qid"]: r["question"] for r in graph_queries.asked(spark, d).collect()}
     assert got == {k: f"who ships (part {1 + k * 7 % 700}) or Part {1 + k * 3 % 700}, not part 17x?" for k in keys}
+
+
+def test_multihop_bridges_over_all_entities(spark, tmp_path):
+    day = datetime.datetime(2020, 1, 1)
+    lines = [(o, (o * 3 + n) % 7, (o + n * n) % 3, n, float(n), 1.0, "O", day) for o in range(1, 9) for n in range(1, 4)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_linestatus string, l_shipdate timestamp"
+    d = stored(spark, tmp_path, lineitem=(lines, schema))
+    chunk = {f"C{o * 1000 + n}": (o, {f"entity::part::part {p}", f"entity::supplier::supplier {s}"}) for o, p, s, n, *_ in lines}
+    want = set()
+    for c1, (doc, names) in chunk.items():
+        for b in names:
+            fits = [(hashlib.md5(f"42{a}|{c2}".encode()).hexdigest(), a, c2) for a in names - {b} for c2, (other, about) in chunk.items() if b in about and a not in about and other != doc]
+            want |= {(a, b, c1, c2) for _, a, c2 in sorted(fits)[:1]}
+    got = {(r["a"], r["b"], r["c1"], r["c2"]) for r in graph_queries.multihop_candidates(spark, d).collect()}
+    assert got == want and any("supplier" in b for _, b, _, _ in got)
