@@ -9,7 +9,8 @@ from ..functions import text as tx
 from ..operators import answering, layout, qa
 from .registry import query, table
 
-#: Replies as a model might give them, made of the documents' own words.
+#: Replies as a model might give them, made of the documents' own words: whole texts, the mark between their
+#: halves. The SQL here and at question_cleanup still has prefixes (see REPLY_r01.md).
 REPLY_SQL = """reply AS (SELECT doc_id, 'Reasoning: ' || substr(text, 1, 60) || CASE WHEN doc_id % 3 = 0 THEN ' ANSWER: draft [S9] ' ELSE '' END ||
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE chr(10) || 'Answer: ' END || substr(text, 61, 50) || ' [S' || (1 + doc_id % 3) || '] [S1] [S1, S2]' AS content FROM documents)"""
 
@@ -18,7 +19,8 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
     k, t = F.col("doc_id"), F.col("text")
     draft = F.when(k % 3 == 0, " ANSWER: draft [S9] ").otherwise("")
     head = F.when(k % 5 == 0, "").otherwise("\nAnswer: ")
-    content = F.concat(F.lit("Reasoning: "), F.substring(t, 1, 60), draft, head, F.substring(t, 61, 50), F.lit(" [S"), (1 + k % 3).cast("string"), F.lit("] [S1] [S1, S2]"))
+    half = F.floor(F.char_length(t) / 2).cast("int")
+    content = F.concat(F.lit("Reasoning: "), F.substring(t, F.lit(1), half), draft, head, F.substring(t, half + 1, F.char_length(t)), F.lit(" [S"), (1 + k % 3).cast("string"), F.lit("] [S1] [S1, S2]"))
     return table(spark, d, "documents").select("doc_id", content.alias("content"))
 
 
@@ -62,7 +64,7 @@ def triples_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, trim(regexp_replace(chr(10) || ' "' || substr(text, 1, 40) || '?"' || chr(9), '^\\s+|\\s+$', '', 'g'), '"') AS question, contains(lower(text), lower(substr(text, 3, 5))) AS names_it FROM documents""")
 def question_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.concat(F.lit('\n "'), F.substring("text", 1, 40), F.lit('?"\t'))
+    reply = F.concat(F.lit('\n "'), F.col("text"), F.lit('?"\t'))
     return table(spark, d, "documents").select("doc_id", tx.clean_question(reply).alias("question"), tx.mentions(F.col("text"), F.substring("text", 3, 5)).alias("names_it"))
 
 

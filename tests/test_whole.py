@@ -56,3 +56,23 @@ def test_multihop_bridges_over_all_entities(spark, tmp_path):
             want |= {(a, b, c1, c2) for _, a, c2 in sorted(fits)[:1]}
     got = {(r["a"], r["b"], r["c1"], r["c2"]) for r in graph_queries.multihop_candidates(spark, d).collect()}
     assert got == want and any("supplier" in b for _, b, _, _ in got)
+
+
+def test_replies_are_whole_texts(spark, tmp_path):
+    long = "".join(f"w{i} é " for i in range(400))
+    texts = [(1, long + "[S7] tail"), (2, "[S8] " + long), (5, long + "answer: late [S6]"), (15, long), (4, ""), (6, None), (7, "x")]
+    d = stored(spark, tmp_path, documents=(texts, "doc_id long, text string"))
+    contents = {r["doc_id"]: r["content"] for r in text_queries.replies(spark, d).collect()}
+    for k, t in texts:
+        if t is None:
+            assert contents[k] is None
+            continue
+        half = len(t) // 2
+        mark = (" ANSWER: draft [S9] " if k % 3 == 0 else "") + ("" if k % 5 == 0 else "\nAnswer: ")
+        assert contents[k] == f"Reasoning: {t[:half]}{mark}{t[half:]} [S{1 + k % 3}] [S1] [S1, S2]"
+    tags = {r["doc_id"]: r["tags"] for r in text_queries.citation_tags(spark, d).collect()}
+    assert tags[1] == "S1,S2,S7" and tags[2] == "S1,S3,S8" and tags[5] == "S1,S3,S6"
+    answers = {r["doc_id"]: r["answer"] for r in text_queries.answer_split(spark, d).collect()}
+    assert answers[1].startswith(texts[0][1][len(texts[0][1]) // 2 :].strip()) and answers[5].startswith("late [S6]")
+    questions = {r["doc_id"]: r["question"] for r in text_queries.question_cleanup(spark, d).collect()}
+    assert questions[1] == texts[0][1] + "?"
