@@ -208,31 +208,46 @@ def _slack(coordinates: int, threshold: float) -> float:
     return coordinates * p + DEVIATIONS * (coordinates * p * (1 - p)) ** 0.5
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Id and text's hash: rows that share an id, or have none, are told apart by their texts."""
+    return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)).alias("id"), F.xxhash64(text_col).alias("mark"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, group, n_links, n) of each key of rows with words, n rows having it, and the keys of rows without words."""
+    items = docs.select(_row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    seen, bare = group_items(items, dart_signatures, bands, rows, threshold, width)
+    return cut(seen.groupBy("key").agg(F.any_value("group").alias("group"), F.any_value("n_links").alias("n_links"), F.count("*").alias("n"))), bare
+
+
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row per row of ``docs``: id, group_id (least id of its group), group_size, n_links, kept.
 
-    ``n_links`` counts the verified comparisons of the row's class with other classes. The least id of a
-    group stays. Ids are whole numbers; a null id counts as the largest, and rows that share an id share
-    a group. Words are parted by ASCII white space and compared as they are; a text of one to four words
-    is one shingle; null texts and texts without words stand alone. Only the two named columns are read,
-    and an empty table gives no rows.
+    ``n_links`` counts the verified comparisons of the row's class with other classes. A row with the least
+    id of a group stays, one only. Ids are whole numbers; a null id counts as the largest, and rows that
+    share an id are told apart by their texts. Words are parted by ASCII white space and compared as they
+    are; a text of one to four words is one shingle; null texts and texts without words stand alone. Only
+    the two named columns are read, and an empty table gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(VOID))
-    items = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    seen, bare = group_items(items, dart_signatures, bands, rows, threshold, width)
-    seen = cut(seen)
-    sizes = cut(seen.groupBy("group").agg(F.count("*").alias("group_size")))
-    alone = bare.select("key", F.col("key").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
-    out = seen.join(sizes, "group").select("key", "group", "n_links", "group_size").unionByName(alone)
-    back = lambda c: F.when(F.col(c) != VOID, F.col(c)).cast(docs.schema[id_col].dataType)
-    return out.select(back("key").alias(id_col), back("group").alias("group_id"), "group_size", "n_links", (F.col("key") == F.col("group")).alias("kept"))
+    seen, bare = _grouped(docs, id_col, text_col, threshold, width, bands, rows)
+    sizes = cut(seen.groupBy("group").agg(F.sum("n").alias("group_size")))
+    each = seen.join(sizes, "group").select("key", "group", "n_links", "group_size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    alone = bare.select("key", F.col("key").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("i"))
+    out = each.unionByName(alone)
+    back = lambda c: F.when(F.col(f"{c}.id") != VOID, F.col(f"{c}.id")).cast(docs.schema[id_col].dataType)
+    return out.select(back("key").alias(id_col), back("group").alias("group_id"), "group_size", "n_links", ((F.col("key") == F.col("group")) & (F.col("i") == 1)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    gone = classes(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("gone_id")).distinct()
-    name = spare_name(docs.columns, "gone_id")
-    gone = gone.withColumnRenamed("gone_id", name)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: one of each group."""
+    seen, _ = _grouped(docs, id_col, text_col, THRESHOLD, SHINGLE, BANDS, ROWS)
+    name = spare_name(docs.columns, "row_key")
+    keyed = docs.withColumn(name, _row_key(id_col, text_col))
+    kept = keyed.join(seen.filter("key <> group").select(F.col("key").alias(name)), name, "left_anti")
+    copied = seen.filter("key = group and n > 1").select(F.col("key").alias(name))
+    if copied.isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.join(copied, name, "left_semi").dropDuplicates([name])
+    return kept.join(copied, name, "left_anti").unionByName(one).select(*docs.columns)

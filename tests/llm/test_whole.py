@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from folioflow.llm import substring_dedup
+from folioflow.llm import near_dedup, substring_dedup
 from folioflow.llm.hashing import Hasher
 from folioflow.llm.queries import op8_paragraph_dedup
 
@@ -44,3 +44,19 @@ def test_unit_starts_depend_on_no_other_text():
     for t, starts in zip(texts, together, strict=True):
         units = [t[a:b].split() for a, b in zip(starts, [*starts[1:], len(t)], strict=False)]
         assert (sum(units, []) == t.split() and all(len(u) > substring_dedup.REACH for u in units)) if len(t.split()) >= 25 else not starts
+
+
+def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(10)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(80)]
+    a, b, c, d, e = text(), text(), text(), text(), text()
+    near = lambda t: " ".join([*t[:40], "changed", *t[41:]])
+    a, b, c, d, e, a2, b2 = *(" ".join(t) for t in (a, b, c, d, e)), near(a), near(b)
+    rows = [(1, a), (7, a2), (7, c), (7, b2), (2, b), (None, a2), (None, d), (None, e), (None, d), (9, e), (9, e), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((x["doc_id"], x["text"]) for x in near_dedup.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, a), (7, c), (2, b), (None, d), (9, e), (None, None), (None, "")], key=repr)
+    out = near_dedup.classes(df).collect()
+    assert len(out) == len(rows) and sum(x["kept"] for x in out) == len(kept)
+    assert sorted((x["group_id"] is None, x["group_id"] or 0, x["group_size"]) for x in out if x["doc_id"] == 7) == [(False, 1, 3), (False, 2, 2), (False, 7, 1)]
+    assert sorted(x["group_size"] for x in out if x["doc_id"] is None) == [1, 1, 2, 2, 3, 3]
