@@ -4,7 +4,8 @@ The script of a word, told by code point ranges, leaves the languages written in
 log-probability under each of them from hashed letter trigrams, and a Viterbi pass with a penalty for
 each switch labels the words, which gives spans. The document's language is the one with most letters.
 
-Training counts trigrams on a bounded sample of labelled documents (``sample_docs``); the model has
+Training counts trigrams on a bounded sample of distinct labelled texts (``sample_docs``), of each language
+an equal number or all it has, so rare languages are learned at any size; the model has
 ``BUCKETS`` numbers per language and travels to the workers in the task. Labelling reads whole texts;
 words' scores are computed once per worker, and the Viterbi pass steps through all documents of a
 block at once.
@@ -28,6 +29,7 @@ from .workspace import cut, ship
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
+LEAST_SAMPLE = 30
 RARE_SCRIPT = 0.002
 BLOCK_CHARS = 12_000_000
 CACHE_WORDS = 800_000
@@ -70,14 +72,19 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, sample_docs: int = 3000, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``sample_docs`` documents with a non-null label, taken by a hash of their text.
+    """Fit on about ``sample_docs`` distinct texts with a non-null label, taken by a hash of the text.
 
-    Rows without label or text teach nothing; a table without labels gives a model without languages.
+    Each language has an equal share of them, at least about ``LEAST_SAMPLE``; a language with fewer texts
+    gives all. Rows without label or text teach nothing; a table without labels gives a model without languages.
     """
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     ship(docs.sparkSession)
-    rate = min(1.0, sample_docs / max(1, docs.count()))
-    low = F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1 << 30)) < int(rate * (1 << 30))
+    texts = labelled.select("lang", F.xxhash64("text", F.lit("lang")).alias("place")).distinct().groupBy("lang").count().collect()
+    share = max(LEAST_SAMPLE, -(-sample_docs // max(1, len(texts))))
+    limits = [(r["lang"], int(min(1.0, share / r["count"]) * (1 << 30))) for r in texts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, below long")
+    drawn = labelled.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1 << 30)) < F.col("below"))
+    drawn = drawn.select("text", "lang").dropDuplicates(["text", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -94,7 +101,7 @@ def train(docs: DataFrame, sample_docs: int = 3000, text_col: str = "text", lang
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(both[at])], ["lang", "cell", "n"])
 
-    cells = labelled.filter(low).mapInArrow(count, "lang string, cell long, n long")
+    cells = drawn.mapInArrow(count, "lang string, cell long, n long")
     rows = cut(cells.groupBy("lang", "cell").agg(F.sum("n").alias("n"))).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from folioflow.llm import near_dedup, substring_dedup
+from folioflow.llm import language_id, near_dedup, substring_dedup
 from folioflow.llm.hashing import Hasher
 from folioflow.llm.queries import op8_paragraph_dedup
 
@@ -60,3 +60,18 @@ def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
     assert len(out) == len(rows) and sum(x["kept"] for x in out) == len(kept)
     assert sorted((x["group_id"] is None, x["group_id"] or 0, x["group_size"]) for x in out if x["doc_id"] == 7) == [(False, 1, 3), (False, 2, 2), (False, 7, 1)]
     assert sorted(x["group_size"] for x in out if x["doc_id"] is None) == [1, 1, 2, 2, 3, 3]
+
+
+def test_training_draws_from_distinct_labelled_texts_of_each_language(spark):
+    words = "house garden evening rain stone wall river bridge window table".split()
+    r = random.Random(11)
+    rows = [(f"{' '.join(r.choices(words, k=12))} {i}", None) for i in range(3000)]  # most rows have no label
+    rows += [(f"{' '.join(r.choices(words, k=12))}", "en") for _ in range(300)] + [("the same text again", "en")] * 500
+    rows += [("тихий вечер в саду", "ru"), ("старая каменная стена", "ru")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(df, sample_docs=60)
+    assert model.languages == ["en", "ru"]
+    once = language_id.train(df.distinct(), sample_docs=60)  # copies change nothing
+    assert (model.scores == once.scores).all()
+    out = language_id.label(spark.createDataFrame([(1, "каменная стена"), (2, "river bridge")], "doc_id long, text string"), model)
+    assert {x["doc_id"]: x["lang_pred"] for x in out.collect()} == {1: "ru", 2: "en"}
