@@ -75,7 +75,7 @@ def connected_components(links: DataFrame, rounds: int = 40, one_task: int = ONE
         known = edges.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
         return cut(_with_alone(known, alone))
     mark = None
-    for _ in range(rounds):
+    for _ in range(rounds):  # far more than the rounds that any graph needs which fits a cluster
         both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
         large = _star(both).filter("other > node").select(F.col("other").alias("node"), F.col("least").alias("other"))
         large = cut(large.filter("node <> other").distinct())
@@ -87,6 +87,8 @@ def connected_components(links: DataFrame, rounds: int = 40, one_task: int = ONE
         if tuple(row) == mark:
             break
         mark = tuple(row)
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     named = edges.select("node", F.col("other").alias("component"))
     roots = edges.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()
     known = named.unionByName(roots)

@@ -20,14 +20,19 @@ from .hashing import U, mixed
 #: Cumulative probabilities of a Poisson variable of mean 1.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
+CELLS = 1 << 18  # cells whose darts are thrown at once; an element with more is taken by itself
+
 
 def _throw(elements, weights, owner, ranks, n_sets: int, k: int) -> np.ndarray:
     """(set, coordinate) table of the least dart: rank in the high 32 bits, the dart's name in the low."""
     table = np.full(n_sets * k, ~U(0), U)
     tall = np.ceil(weights).astype(np.int64)
     cells = tall * ranks[owner]
-    for s in range(0, len(elements), 1 << 18):  # memory for a bounded number of elements at a time
-        part = slice(s, s + (1 << 18))
+    bounds = np.searchsorted(np.cumsum(cells), np.arange(CELLS, int(cells.sum()) + CELLS, CELLS), side="left") + 1
+    for s, t in zip([0, *bounds.tolist()], bounds.tolist(), strict=False):  # memory for a bounded number of cells at a time
+        if t <= s:
+            continue
+        part = slice(s, t)
         e = np.repeat(np.arange(len(elements))[part], cells[part])
         if len(e) == 0:
             continue

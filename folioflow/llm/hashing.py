@@ -57,8 +57,8 @@ def word_hashes(texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndar
     return hasher.of(hasher.sums(data), start, end), owner, start, end
 
 
-def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, text's number), distinct and sorted by text: hashes of ``width`` consecutive words.
+def word_runs(hashes: np.ndarray, owner: np.ndarray, n_texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, text's number) in order: hashes of ``width`` consecutive words.
 
     A text with fewer words, but some, has one shingle of all its words.
     """
@@ -72,7 +72,22 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, width: int) ->
     for i in range(width):
         inside = at + i < (starts + counts)[text]
         out = mixed(out + np.where(inside, padded[at + i], U(i + 1)) * U(BASE))
+    return out, text
+
+
+def shingle_bags(hashes: np.ndarray, owner: np.ndarray, n_texts: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, text's number, times), distinct and sorted by text."""
+    out, text = word_runs(hashes, owner, n_texts, width)
     order = np.lexsort((out, text))
     out, text = out[order], text[order]
     new = np.concatenate(([True], (out[1:] != out[:-1]) | (text[1:] != text[:-1]))) if len(out) else np.zeros(0, bool)
-    return out[new], text[new]
+    first = np.flatnonzero(new)
+    return out[first], text[first], np.diff(np.append(first, len(out)))
+
+
+def small_shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, text's number), distinct and sorted by text, of at most 2 ** 20 short texts; shingles have 44 bits."""
+    out, text = word_runs(hashes, owner, n_texts, width)
+    both = np.sort(text.astype(U) << U(44) | out >> U(20))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return both & U((1 << 44) - 1), (both >> U(44)).astype(np.int64)

@@ -1,42 +1,43 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-1. Each text becomes its set of five-word shingles and a DartMinHash signature of ``BANDS * ROWS``
-   coordinates. Texts with equal sets are one class from here on, named by its least id.
+1. Each text becomes its bag of five-word shingles. Weighted by their numbers, the shingles give a
+   DartMinHash signature of ``BANDS * ROWS`` coordinates. Texts with equal bags are one class from here on.
 2. Classes that agree in a band share a bucket. In each bucket all classes are compared with the bucket's
-   least id only, so a bucket of m classes gives m - 1 pairs and not m * m / 2.
-3. Pairs whose exact Jaccard similarity reaches the threshold are links, and links make components.
-4. In buckets that still hold several components, classes of different components are compared too, so
-   no link is lost that would join two components; pairs within a component need no comparison. A sketch
-   of half a byte of each of ``SKETCH`` minima first sorts out pairs that differ in far more of them than
-   pairs at the threshold do.
-
-At a similarity of 0.8 a pair misses all 30 bands of 6 rows with a probability of 1 in 9,000, and the
-sketch wrongly sorts out 1 in 700 of the pairs that step 4 compares, far fewer of more similar ones.
+   least class only, so a bucket of m classes gives m - 1 pairs and not m * m / 2.
+3. Pairs whose exact weighted Jaccard similarity (sum of the lesser numbers over sum of the greater ones)
+   reaches the threshold are links, and links make components.
+4. Classes of buckets that still hold several components are compared across components, so that no link is
+   lost that would join two; pairs within a component need no comparison. Of these classes, two that reach the
+   threshold share a shingle among the rarest n - ceil(threshold * n) + 1 of each (the order by frequency is
+   the same for both), so joining on these finds every such pair, and a shingle that very many of them have,
+   as a common phrase, joins nothing.
+
+At a similarity of 0.8 a pair misses all 30 bands of 6 rows with a probability of 1 in 9,000. Steps 3 and 4
+are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .components import connected_components
 from .dart_minhash import signatures
-from .hashing import Hasher, U, mixed, shingles, word_hashes
-from .workspace import cut, release_unused, ship, spare_name
+from .hashing import Hasher, U, mixed, shingle_bags, word_hashes
+from .workspace import cut, ship, spare_name
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
 VOID = (1 << 63) - 1  # stands for a null id
-SKETCH = 512  # a multiple of 16
-DEVIATIONS = 3.0
 BLOCK = 1 << 20
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     texts = batch.column("data").to_pylist()
     sizes = np.fromiter((len(x) for x in texts), np.int64, len(texts))
     group = (np.cumsum(sizes) - sizes) // BLOCK
@@ -46,166 +47,131 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]
             yield batch.slice(s, e - s), texts[s:e]
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
 
 
-def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
-    return signatures(elements, np.ones(len(elements)), owner, n, k)
+def set_hashes(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set; ``elements`` are the sets' end to end, ``counts`` their sizes."""
+    ends = np.cumsum(counts)
+    sums = [np.concatenate((np.zeros(1, U), np.cumsum(mixed(elements ^ U(s))))) for s in (0x1234567, 0x89ABCDE)]
+    one, two = (mixed(x[ends] - x[ends - counts] + counts.astype(U)).view(np.int64) for x in sums)
+    return one, two
 
 
-def min_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Minima of ``k`` multiply-and-add permutations over each item's shingles; all ones without any."""
-    rng = np.random.default_rng(11)
-    times, plus = rng.integers(1, 1 << 63, (2, k), dtype=U)
-    out = np.full((n, k), ~U(0), U)
-    if len(elements):
-        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        some = owner[starts]
-        for j in range(k):
-            out[some, j] = np.minimum.reduceat(elements * (times[j] | U(1)) + plus[j], starts) >> U(16)
-    return out
+def band_values(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(items, bands): one hash of each band's coordinates and number."""
+    keys = np.arange(bands, dtype=U)[None, :] + np.zeros((len(sig), 1), U)
+    for r in range(rows):
+        keys = mixed(keys * U(31) + sig[:, r::rows] + U(1))
+    return keys.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], sign, bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher(5)
-    for batch in batches:
-        for part, texts in _blocks(batch):
-            n = len(texts)
-            hashes, words_of, _, _ = word_hashes(texts, hasher)
-            elements, owner = shingles(hashes, words_of, n, width)
-            counts = np.bincount(owner, minlength=n)
-            ends = np.cumsum(counts)
-            sums = [np.concatenate((np.zeros(1, U), np.cumsum(mixed(elements ^ U(s))))) for s in (0x1234567, 0x89ABCDE)]
-            one, two = (mixed(x[ends] - x[ends - counts] + counts.astype(U)).view(np.int64) for x in sums)
-            sig = sign(elements, owner, n, bands * rows)
-            keys = np.zeros((n, bands), U)
-            for r in range(rows):
-                keys = mixed(keys * U(31) + sig[:, r::rows] + U(1))
-            some = counts > 0
-            columns = [
-                part.column("key"),
-                pa.array(one),
-                pa.array(two),
-                pa.array(counts),
-                _lists(keys[some].view(np.int64).ravel(), np.where(some, bands, 0)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "n", "bands"])
+def _occurrences(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Names of first, second, ... occurrences: a bag as a set, of which Jaccard similarity is the weighted one."""
+    at = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
+    return mixed(np.repeat(elements, weights) + at.astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(5)
     for batch in batches:
-        for part, texts in _blocks(batch):
+        for part, texts in blocks(batch):
+            n = len(texts)
             hashes, words_of, _, _ = word_hashes(texts, hasher)
-            elements, owner = shingles(hashes, words_of, len(texts), width)
-            yield pa.RecordBatch.from_arrays([part.column("key"), _lists(elements.view(np.int64), np.bincount(owner, minlength=len(texts)))], ["key", "items"])
+            elements, owner, weights = shingle_bags(hashes, words_of, n, width)
+            total = np.bincount(owner, weights, minlength=n).astype(np.int64)
+            one, two = set_hashes(_occurrences(elements, weights), total)
+            values = band_values(signatures(elements, weights, owner, n, bands * rows), bands, rows)
+            some = total > 0
+            columns = [part.column("key"), pa.array(one), pa.array(two), pa.array(total), lists(values[some].ravel(), np.where(some, bands, 0))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "n", "bands"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Half a byte of each of ``SKETCH`` minima, sixteen in a long."""
+def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(5)
     for batch in batches:
-        for part, texts in _blocks(batch):
-            n = len(texts)
+        for part, texts in blocks(batch):
             hashes, words_of, _, _ = word_hashes(texts, hasher)
-            small = (min_signatures(*shingles(hashes, words_of, n, width), n, SKETCH) & U(15)).astype(np.uint8)
-            bits = np.ascontiguousarray(small[:, ::2] << 4 | small[:, 1::2]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("key"), _lists(bits.ravel(), np.full(n, bits.shape[1]))], ["key", "sketch"])
+            elements, owner, weights = shingle_bags(hashes, words_of, len(texts), width)
+            counts = np.bincount(owner, weights, minlength=len(texts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("class"), lists(_occurrences(elements, weights).view(np.int64), counts)], ["class", "items"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose exact Jaccard similarity reaches the threshold."""
-    left = sets.select(F.col("key").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("items").alias("items_b"))
+    left = sets.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return both.filter(shared >= threshold * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def _of_keys(items: DataFrame, keys: DataFrame, make, column: str, width: int) -> DataFrame:
-    """(key, column) that ``make`` gets from the texts of the items with the given keys."""
-    found = items.join(keys, "key", "left_semi").select("key", "data")
-    kind = items.schema["key"].dataType.simpleString()
-    return found.mapInArrow(lambda batches: make(batches, width), f"key {kind}, {column} array<bigint>").dropDuplicates(["key"])
-
-
-def _needed_sets(items: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Shingle sets of the classes that occur in ``pairs``."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    return _of_keys(items, wanted, _sets, "items", width)
+def _beside(rest: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of classes (class, part, items) of different parts that share one of their rarest elements, once."""
+    n = F.size("items")
+    each = rest.select("class", "part", n.alias("n"), F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
+    # Elements that no other class has come first in the order, join nothing, and needn't be listed.
+    listed = each.join(often, "item").groupBy("class", "part", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"))
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("order"))
+    keys = listed.select("class", "part", "n", F.explode(F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("o"))
+    keys = keys.select("class", "part", "n", F.col("o.item").alias("item"))
+    other = keys.select(*[F.col(c).alias(f"{c}_b") for c in keys.columns])
+    sized = F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")
+    found = keys.join(other, (F.col("item") == F.col("item_b")) & (F.col("part") < F.col("part_b")) & sized)
+    return found.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
 
 
-def group_items(items: DataFrame, sign, bands: int, rows: int, threshold: float = THRESHOLD, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Group ``items`` (key, data) by near-duplication of their word shingles.
+def linked_classes(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
+    """(class, component) of the classes in ``signed`` (one, n, bands) that are similar to another one.
 
-    Keys may be of any type that has an order. ``sign`` maps distinct shingles, their items' numbers, the
-    number of items and of coordinates to signatures. Returns (key, group, n_links) of the items with
-    words, where a group is named by its least key, and the keys of items without words.
+    A class is its set's hash ``one``; a component is named by its least class. ``sets_of`` gives
+    (class, items) for a table of classes (class).
     """
-    spark = items.sparkSession
-    ship(spark)
-    kind = items.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, one bigint, two bigint, n bigint, bands array<bigint>"
-    signed = cut(items.select("key", "data").mapInArrow(lambda batches: _sign(batches, sign, bands, rows, width), schema))
-
-    # Equal sets have equal signatures, so any member's will do for the class.
-    leads = signed.filter("n > 0").groupBy("one", "two").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    leads = cut(leads)
-    narrow = cut(signed.select("key", "one", "two", "n"))
-    del signed
-    release_unused(spark)
-    members = narrow.filter("n > 0").join(leads.select("one", "two", F.col("key").alias("class")), ["one", "two"]).select("key", "class")
-
-    spots = leads.select("key", "n", F.posexplode("bands").alias("band", "value"))
-    buckets = spots.groupBy("band", "value").agg(F.min(F.struct("key", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    buckets = cut(buckets.select("band", "value", F.col("lead.key").alias("lead"), F.col("lead.n").alias("lead_n")), release=True)
-    crowd = cut(spots.join(buckets, ["band", "value"]).select("band", "value", "key", "n", "lead", "lead_n"), release=True)
+    spots = signed.select("one", "n", F.explode("bands").alias("value"))
+    # Partial aggregation reduces copies and hot buckets before they are shuffled.
+    buckets = spots.groupBy("value").agg(F.min("one").alias("lead"), F.min_by("n", "one").alias("lead_n"), F.max("one").alias("last"))
+    buckets = cut(buckets.filter("lead < last").select("value", "lead", "lead_n"), release=True)
+    crowd = bloom.maybe(spots, F.col("value"), bloom.of_keys(buckets, F.col("value"))).join(buckets, "value")
+    crowd = cut(crowd.select("value", "one", "n", "lead", "lead_n").dropDuplicates(["value", "one"]))
     alike = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
-    pairs = cut(crowd.filter((F.col("key") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct())
-    links = cut(_verified(pairs, _needed_sets(items, pairs, width), threshold), release=True)
+    pairs = cut(crowd.filter((F.col("one") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("one").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    links = cut(_verified(pairs, sets_of(cut(ends)), threshold), release=True)
 
     parts = connected_components(links)
-    placed = crowd.join(parts.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("band", "value", "key", "n", F.coalesce("component", "key").alias("part"))
-    several = placed.groupBy("band", "value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("band", "value")
-    rest = cut(placed.join(several, ["band", "value"]), release=True)
+    placed = crowd.join(parts.withColumnRenamed("node", "one"), "one", "left").select("value", "one", F.coalesce("component", "one").alias("part"))
+    several = placed.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("value")
+    rest = cut(placed.join(several, "value").select(F.col("one").alias("class"), "part").distinct())
     if not rest.isEmpty():
-        sketches = cut(_of_keys(items, rest.select("key").distinct(), _sketches, "sketch", width), release=True)
-        rest = rest.join(leads.select("key", "bands"), "key").join(sketches, "key")
-        across = _across(rest, threshold).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        across = cut(across, release=True)
-        links = cut(links.unionByName(_verified(across, _needed_sets(items, across, width), threshold)), release=True)
-        parts = connected_components(links)
-    ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
-    degree = ends.groupBy("class").agg(F.count("*").alias("n_links"))
-    seen = members.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").join(degree, "class", "left")
-    return seen.select("key", F.coalesce("component", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links")), narrow.filter("n = 0").select("key")
-
-
-def _across(rest: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of a bucket's classes in different components that may be similar, each in the first bucket they share."""
-    other = rest.select(*[F.col(c).alias(f"{c}_b") for c in ("band", "value", "key", "n", "part", "bands", "sketch")])
-    apart = F.aggregate(F.zip_with("sketch", "sketch_b", _unlike), F.lit(0), lambda s, x: s + x)
-    sized = F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")
-    first = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-    near = sized & first & (apart <= _slack(SKETCH, threshold))
-    found = rest.join(other, (F.col("band") == F.col("band_b")) & (F.col("value") == F.col("value_b")) & (F.col("part") < F.col("part_b")) & near)
-    return found.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"))
+        sets = cut(rest.join(sets_of(rest.select("class")), "class"), release=True)
+        more = cut(_verified(cut(_beside(sets, threshold)), sets.select("class", "items"), threshold), release=True)
+        if not more.isEmpty():
+            parts = connected_components(links.unionByName(more))
+    return parts.withColumnRenamed("node", "class")
 
 
-def _unlike(x: Column, y: Column) -> Column:
-    """How many of two longs' sixteen half-bytes differ."""
-    d = x.bitwiseXOR(y)
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+def repeated(keyed: DataFrame, parts: DataFrame) -> DataFrame:
+    """(one, two, lead, size) of the classes of ``keyed`` (key, one, two) that don't stand alone.
+
+    ``lead`` is the least key of the class's component, ``size`` the number of rows in it. A class that no
+    link touches is told apart by its second hash too.
+    """
+    parts = cut(parts)
+    each = keyed.groupBy("one", "two").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
+    each = bloom.flagged(each, F.col("one"), bloom.of_keys(parts, F.col("class")), "linked").filter("copies > 1 or linked")
+    each = each.join(parts, F.col("one") == F.col("class"), "left").select("one", "two", "first", "copies", "component")
+    each = cut(each.filter("copies > 1 or component is not null"))
+    alone = each.filter("component is null").select("one", "two", F.col("first").alias("lead"), F.col("copies").alias("size"))
+    linked = each.filter("component is not null")
+    whole = linked.groupBy("component").agg(F.min("first").alias("lead"), F.sum("copies").alias("size"))
+    return cut(alone.unionByName(linked.join(whole, "component").select("one", "two", "lead", "size")))
 
 
-def _slack(coordinates: int, threshold: float) -> float:
-    """Half-bytes that may differ: what is expected at the threshold and ``DEVIATIONS`` more."""
-    p = (1 - threshold) * 15 / 16
-    return coordinates * p + DEVIATIONS * (coordinates * p * (1 - p)) ** 0.5
+def placed(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that are in ``groups``, with lead and size; the others aren't shuffled."""
+    return bloom.maybe(keyed, F.col("one"), bloom.of_keys(groups, F.col("one"))).join(groups, ["one", "two"])
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -214,40 +180,60 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(key, group, n_links, n) of each key of rows with words, n rows having it, and the keys of rows without words."""
+    """(key, one, two) of all rows, without a hash where there is no word, and the groups (see ``repeated``)."""
+    ship(docs.sparkSession)
     items = docs.select(_row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    seen, bare = group_items(items, dart_signatures, bands, rows, threshold, width)
-    return cut(seen.groupBy("key").agg(F.any_value("group").alias("group"), F.any_value("n_links").alias("n_links"), F.count("*").alias("n"))), bare
+    schema = f"key {items.schema['key'].dataType.simpleString()}, one bigint, two bigint, n bigint, bands array<bigint>"
+    signed = cut(items.mapInArrow(lambda batches: _sign(batches, bands, rows, width), schema))
+    keyed = signed.select("key", F.when(F.col("n") > 0, F.col("one")).alias("one"), "two")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        # One member's text stands for its class.
+        member = bloom.maybe(keyed, F.col("one"), bloom.of_keys(wanted, F.col("class"))).join(wanted, F.col("one") == F.col("class"), "left_semi")
+        member = cut(member.groupBy(F.col("one").alias("class")).agg(F.min("key").alias("key")))
+        texts = bloom.maybe(items, F.col("key"), bloom.of_keys(member, F.col("key"))).join(member, "key").dropDuplicates(["class"])
+        return cut(texts.select("class", "data").mapInArrow(lambda batches: _bags(batches, width), "class bigint, items array<bigint>"))
+
+    parts = linked_classes(signed.filter("n > 0"), sets_of, threshold)
+    return keyed, repeated(keyed.filter("one is not null"), parts)
 
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of ``docs``: id, group_id (least id of its group), group_size, n_links, kept.
+    """One row per row of ``docs``: id, group_id (least id of its group), group_size, kept.
 
-    ``n_links`` counts the verified comparisons of the row's class with other classes. A row with the least
-    id of a group stays, one only. Ids are whole numbers; a null id counts as the largest, and rows that
-    share an id are told apart by their texts. Words are parted by ASCII white space and compared as they
-    are; a text of one to four words is one shingle; null texts and texts without words stand alone. Only
-    the two named columns are read, and an empty table gives no rows.
+    A row with the least id of a group stays, one only. Ids are whole numbers; a null id counts as the
+    largest, and rows that share an id are told apart by their texts. Words are parted by ASCII white space
+    and compared as they are; a text of one to four words is one shingle; null texts and texts without words
+    stand alone. Only the two named columns are read, and an empty table gives no rows.
     """
-    seen, bare = _grouped(docs, id_col, text_col, threshold, width, bands, rows)
-    sizes = cut(seen.groupBy("group").agg(F.sum("n").alias("group_size")))
-    each = seen.join(sizes, "group").select("key", "group", "n_links", "group_size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    alone = bare.select("key", F.col("key").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("i"))
-    out = each.unionByName(alone)
+    keyed, groups = _grouped(docs, id_col, text_col, threshold, width, bands, rows)
+    rows_of = bloom.flagged(keyed, F.col("one"), bloom.of_keys(groups, F.col("one")), "may")
+    some = rows_of.filter("may").join(groups, ["one", "two"], "left")
+    each = some.filter("lead is not null").groupBy("key", "lead", "size").agg(F.count("*").alias("n"))
+    each = each.select("key", "lead", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    alone = rows_of.filter("not may").select("key").unionByName(some.filter("lead is null").select("key"))
+    alone = alone.select("key", F.col("key").alias("lead"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("i"))
     back = lambda c: F.when(F.col(f"{c}.id") != VOID, F.col(f"{c}.id")).cast(docs.schema[id_col].dataType)
-    return out.select(back("key").alias(id_col), back("group").alias("group_id"), "group_size", "n_links", ((F.col("key") == F.col("group")) & (F.col("i") == 1)).alias("kept"))
+    kept = (F.col("key") == F.col("lead")) & (F.col("i") == 1)
+    return each.unionByName(alone).select(back("key").alias(id_col), back("lead").alias("group_id"), F.col("size").alias("group_size"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each group."""
-    seen, _ = _grouped(docs, id_col, text_col, THRESHOLD, SHINGLE, BANDS, ROWS)
+    """The rows of ``docs`` that stay, with all their columns: one of each group (see ``classes``).
+
+    A row that certainly stands alone is not shuffled.
+    """
+    keyed, groups = _grouped(docs, id_col, text_col, THRESHOLD, SHINGLE, BANDS, ROWS)
+    members = placed(keyed, groups).groupBy("key", "lead").agg(F.count("*").alias("n"))
     name = spare_name(docs.columns, "row_key")
-    keyed = docs.withColumn(name, _row_key(id_col, text_col))
-    kept = keyed.join(seen.filter("key <> group").select(F.col("key").alias(name)), name, "left_anti")
-    copied = seen.filter("key = group and n > 1").select(F.col("key").alias(name))
-    if copied.isEmpty():
-        return kept.select(*docs.columns)
-    one = kept.join(copied, name, "left_semi").dropDuplicates([name])
-    return kept.join(copied, name, "left_anti").unionByName(one).select(*docs.columns)
+    todo = cut(members.filter("key <> lead or n > 1").select(F.col("key").alias(name), (F.col("key") == F.col("lead")).alias("stays")))
+    may = spare_name(docs.columns, "may_match")
+    flagged = bloom.flagged(docs.withColumn(name, _row_key(id_col, text_col)), F.col(name), bloom.of_keys(todo, F.col(name)), may)
+    alone = flagged.filter(~F.col(may)).select(*docs.columns)
+    some = flagged.filter(F.col(may))
+    others = some.join(todo, name, "left_anti").select(*docs.columns)
+    # Copies are dropped map-side first, so that a row that very many others repeat isn't gathered.
+    once = some.dropDuplicates([name]).join(todo.filter("stays"), name, "left_semi").select(*docs.columns)
+    return alone.unionByName(others).unionByName(once)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, language_id, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup
-from .workspace import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,14 +59,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = cut(substring_dedup.remove_paragraphs(docs).withColumnRenamed("removed", "lines"), release=True)
-    out = substring_dedup.remove_passages(lines)
-    text = F.coalesce("text", F.lit(""))
-    return out.select(
-        "doc_id", (F.size("lines") + F.size("removed")).cast("long").alias("n_removed"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("removed_lines"),
-        F.size("removed").cast("long").alias("n_passages"), F.sha2(text, 256).alias("kept_sha256"),
-    )
+    out = substring_dedup.remove_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,81 +1,58 @@
 """Repeated passages: paragraph MinHash banding, exact verification, and removal by components.
 
-Paragraphs are lines of ``least`` words or more. Those with equal shingle sets are one class; classes
-that agree in one of ``BANDS`` bands of ``ROWS`` minima are compared by exact Jaccard similarity of their
-five-word shingles, and links make components (``near_dedup.group_items``). Of each component the
-paragraph that comes first, by document and then line, stays where it is; the others are removed.
-
-What repeats inside long lines, or over short ones, is found in a second step (``remove_passages``): whole
-texts, line ends or not, are cut into units of 13 words or more, 25 on average. A cut stands where a hash of
+Paragraphs are made from whole texts by content, so that a passage falls into the same ones wherever it
+stands: on lines of its own, inside a longer line, or over several short ones. A cut stands where a hash of
 the next two words is the least within ``REACH`` words on both sides, starts of sentences and lines before
-all other places; so it depends on the words around it only, and a passage has the same cuts inside
-wherever it stands. Units are grouped as paragraphs are.
+all other places. Paragraphs thus have 11 words or more, 21 on average; one of more than ``MOST`` words, as
+of a text that says one thing over and over, is cut into equal parts.
+
+Paragraphs with equal sets of five-word shingles are one class; classes that agree in one of ``BANDS`` bands
+of ``ROWS`` minima are compared by exact Jaccard similarity, and links make components
+(``near_dedup.linked_classes``). Of each component the paragraph that comes first, by document and then
+place, stays where it is. The others are repeated; they are removed where a run of repeated paragraphs has
+``LEAST`` words or more, since less is a turn of phrase and not a passage.
 
-At a similarity of 0.8 a pair misses all 8 bands of 3 rows with a probability of 1 in 300, at 0.9 of 1 in
-30,000.
+At a similarity of 0.8 a pair misses all 6 bands of 2 rows with a probability of 1 in 460, at 0.9 of 1 in
+20,000.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import Hasher, U, mixed, word_hashes
-from .near_dedup import BLOCK, SHINGLE, THRESHOLD, VOID, group_items, min_signatures
-from .workspace import cut, ship, spare_name
+from . import bloom
+from .hashing import Hasher, U, mixed, small_shingles, word_hashes
+from .near_dedup import SHINGLE, THRESHOLD, VOID, band_values, blocks, linked_classes, lists, placed, repeated, set_hashes
+from .workspace import cut, drop_folder, shared_folder, ship, spare_name
 
-BANDS, ROWS = 8, 3
-LEAST_WORDS = 25
-REACH = 12
+BANDS, ROWS = 6, 2
+REACH, MOST, LEAST = 10, 64, 20
 
 
-def repeated_paragraphs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """(key, line, group_key, group_line, n_links) of every paragraph of at least ``least`` words.
+def min_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Minima of ``k`` multiply-and-add permutations over each item's shingles; all ones without any."""
+    rng = np.random.default_rng(11)
+    times, plus = rng.integers(1, 1 << 63, (2, k), dtype=U)
+    out = np.full((n, k), ~U(0), U)
+    if len(elements):
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        some = owner[starts]
+        for j in range(k):
+            out[some, j] = np.minimum.reduceat(elements * (times[j] | U(1)) + plus[j], starts) >> U(16)
+    return out
 
-    ``key`` is the document's id as a long, the largest one standing for null; lines count from 0.
-    """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(VOID))
-    lines = docs.select(key.alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "text"))
-    enough = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= least
-    items = lines.filter((F.char_length("text") >= 2 * least - 1) & enough)
-    items = items.select(F.struct("doc", "line").alias("key"), F.col("text").cast("binary").alias("data"))
-    seen, _ = group_items(items, min_signatures, bands, rows, threshold, SHINGLE)
-    return seen.select("key.doc", "key.line", F.col("group.doc").alias("group_doc"), F.col("group.line").alias("group_line"), "n_links")
 
-
-def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated paragraphs cut out of the text, and ``removed``: the numbers of the cut lines.
-
-    Null texts stay null and lose nothing, nor do texts without long lines. Ids are whole numbers; rows
-    that share an id lose the lines that any of them would. Columns keep their names; one that is called
-    ``removed`` is replaced. An empty table gives no rows.
-    """
-    found = repeated_paragraphs(docs, id_col, text_col, **options)
-    gone = found.filter((F.col("doc") != F.col("group_doc")) | (F.col("line") != F.col("group_line")))
-    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
-    names = [c for c in docs.columns if c.lower() != "removed"]
-    doc, cut_lines = spare_name(docs.columns, "doc_key"), spare_name(docs.columns, "removed_lines")
-    gone = gone.select(F.col("doc").alias(doc), F.col("removed_lines").alias(cut_lines))
-    base = docs.select(*names)
-    joined = base.join(gone, F.coalesce(base[id_col].cast("long"), F.lit(VOID)) == gone[doc], "left")
-    removed = F.coalesce(F.col(cut_lines), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(cut_lines), i)), "\n")
-    text = F.when(F.col(cut_lines).isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[(text if c == text_col else F.col(c)).alias(c) for c in names], removed.alias("removed"))
-
-
-def unit_starts(texts: list[bytes], hasher: Hasher) -> list[list[int]]:
-    """Bytes at which each text's units begin; none for texts of fewer than ``LEAST_WORDS`` words."""
-    hashes, owner, start, end = word_hashes(texts, hasher)
+def paragraph_heads(texts: list[bytes], hashes: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the words (see ``word_hashes``) begin a paragraph."""
     n = len(hashes)
     if not n:
-        return [[] for _ in texts]
+        return np.zeros(0, bool)
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     lines = np.cumsum(data == 10)
     strong = np.zeros(n, bool)
@@ -89,59 +66,107 @@ def unit_starts(texts: list[bytes], hasher: Hasher) -> list[list[int]]:
     for k in range(1, REACH + 1):
         least &= (score < wide[place - k]) & (score <= wide[place + k])
     counts = np.bincount(owner, minlength=len(texts))
-    first = np.cumsum(counts) - counts
-    at = np.arange(n) - first[owner]
+    at = np.arange(n) - (np.cumsum(counts) - counts)[owner]
     least &= (at > REACH) & (at < counts[owner] - REACH)
-    least = (least | (at == 0)) & (counts[owner] >= LEAST_WORDS)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    where = (start - (np.cumsum(sizes) - sizes)[owner])[least]
-    return [x.tolist() for x in np.split(where, np.cumsum(np.bincount(owner[least], minlength=len(texts)))[:-1])]
+    least |= at == 0
+    first = np.flatnonzero(least)
+    sizes = np.diff(np.append(first, n))
+    for s, size in zip(first[sizes > MOST].tolist(), sizes[sizes > MOST].tolist(), strict=True):
+        least[s : s + size : -(-size // -(-size // MOST))] = True
+    return least
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(5)
-    names = ["doc", "text_hash", "start", "end", "data"]
     for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc", "text_hash", "data")), strict=True))
-        while rows:
-            size, part = 0, []
-            while rows and size < BLOCK:
-                part.append(rows.pop())
-                size += len(part[-1][2])
-            out = []
-            for (doc, mark, text), starts in zip(part, unit_starts([r[2] for r in part], hasher), strict=True):
-                out += [(doc, mark, a, b, text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=False)]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+        for part, texts in blocks(batch):
+            hashes, owner, start, end = word_hashes(texts, hasher)
+            heads = paragraph_heads(texts, hashes, owner, start, end)
+            if not len(heads):
+                continue
+            first = np.flatnonzero(heads)
+            n = len(first)
+            elements, of = small_shingles(hashes, np.cumsum(heads) - 1, n, width)
+            counts = np.bincount(of, minlength=n)
+            one, two = set_hashes(elements, counts)
+            values = band_values(min_signatures(elements << U(20), of, n, bands * rows), bands, rows)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            doc = owner[first]
+            begin = start[first] - (np.cumsum(sizes) - sizes)[doc]
+            stop = np.append(begin[1:], 0)
+            last = np.append(doc[1:] != doc[:-1], True)
+            stop[last] = sizes[doc[last]] - 1
+            words = np.diff(np.append(first, len(hashes)))
+            whole = lambda x: pa.array(x.astype(np.int32))
+            columns = [part.column("id").take(pa.array(doc)), part.column("mark").take(pa.array(doc)), whole(begin), whole(stop), whole(words)]
+            columns += [pa.array(one), pa.array(two), whole(counts), lists(values.ravel(), np.full(n, bands)), lists(elements.view(np.int64), counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "start", "end", "words", "one", "two", "n", "bands", "items"])
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, mark, start, end, words, one, two, n, bands, items) of each paragraph; start and end in bytes.
+
+    ``id`` is the document's id as a long, the largest one standing for null, and ``mark`` its text's hash.
+    """
+    ship(docs.sparkSession)
+    whole = docs.filter(F.col(text_col).isNotNull())
+    whole = whole.select(F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("data"))
+    schema = "id bigint, mark bigint, start int, end int, words int, one bigint, two bigint, n int, bands array<bigint>, items array<bigint>"
+    return whole.mapInArrow(lambda batches: _sign(batches, bands, rows, SHINGLE), schema)
+
+
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """(id, mark, spans) of the documents that lose something; spans are (start, end) in bytes, ascending."""
+    spark = docs.sparkSession
+    # The table is columnar, since most steps need a few of its columns only.
+    folder = shared_folder(spark, "paragraphs")
+    paragraphs(docs, id_col, text_col, bands, rows).write.parquet(folder)
+    table = spark.read.parquet(folder)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        some = bloom.maybe(table.select("one", "items"), F.col("one"), bloom.of_keys(wanted, F.col("class")))
+        return cut(some.join(wanted, F.col("one") == F.col("class"), "left_semi").groupBy(F.col("one").alias("class")).agg(F.first("items").alias("items")))
+
+    parts = linked_classes(table, sets_of, threshold)
+    keyed = table.select(F.struct("id", "start", "end", "mark").alias("key"), "words", "one", "two")
+    groups = repeated(keyed, parts)
+    gone = placed(keyed, groups).filter("key <> lead").select("key.*", "words").distinct()
+    by = Window.partitionBy("id", "mark").orderBy("start")
+    runs = gone.withColumn("new", F.when(F.lag("end").over(by) == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    spans = runs.groupBy("id", "mark", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words")).filter(F.col("words") >= least)
+    out = cut(spans.groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), release=True)
+    drop_folder(spark, folder)
+    return out
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and ``removed``: their (start, end) in bytes.
 
-    Of each group of similar units the one that comes first, by document and then place, stays. Rows that
-    share an id are told apart by their texts. Texts of fewer than ``LEAST_WORDS`` words lose nothing.
+    Null texts stay null and lose nothing, nor do texts of fewer than ``least`` words. Ids are whole numbers;
+    null counts as the largest. Rows that share an id are told apart by their texts, and rows that repeat an
+    id and text are the same document and lose the same. Columns keep their names; one that is called
+    ``removed`` is replaced. An empty table gives no rows. A document that certainly loses nothing isn't
+    shuffled.
     """
-    ship(docs.sparkSession)
-    doc, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)), F.xxhash64(text_col)
-    whole = docs.filter(F.col(text_col).isNotNull()).select(doc.alias("doc"), mark.alias("text_hash"), F.col(text_col).cast("binary").alias("data"))
-    units = whole.mapInArrow(_units, "doc bigint, text_hash bigint, start int, end int, data binary")
-    items = units.select(F.struct("doc", "start", "end", "text_hash").alias("key"), "data")
-    seen, _ = group_items(items, min_signatures, bands, rows, threshold, SHINGLE)
-    gone = seen.filter("key <> group").groupBy("key.doc", "key.text_hash").agg(F.array_sort(F.collect_set(F.struct("key.start", "key.end"))).alias("spans"))
-    gone = cut(gone, release=True)
+    found = repeated_passages(docs, id_col, text_col, **options)
     names = [c for c in docs.columns if c.lower() != "removed"]
-    taken = {c: spare_name(docs.columns, c) for c in ("doc_key", "text_mark", "spans")}
-    gone = gone.select(F.col("doc").alias(taken["doc_key"]), F.col("text_hash").alias(taken["text_mark"]), F.col("spans").alias(taken["spans"]))
-    joined = docs.select(*names).join(gone, (doc == gone[taken["doc_key"]]) & (mark == gone[taken["text_mark"]]), "left")
-    spans, data = F.col(taken["spans"]), F.col(text_col).cast("binary")
+    key, spans, may = (spare_name(docs.columns, c) for c in ("row_key", "spans", "may_match"))
+    found = found.select(F.struct("id", "mark").alias(key), F.col("spans").alias(spans))
+    keyed = docs.select(*names, F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)).alias("id"), F.xxhash64(text_col).alias("mark")).alias(key))
+    flagged = bloom.flagged(keyed, F.col(key), bloom.of_keys(found, F.col(key)), may)
+    kind = "array<struct<start:int,end:int>>"
+    same = flagged.filter(~F.col(may)).select(*names, F.array().cast(kind).alias("removed"))
+    some = flagged.filter(F.col(may)).join(found, key, "left")
+    s, data = F.col(spans), F.col(text_col).cast("binary")
 
     def piece(i):
-        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        stop = F.when(i == F.size(spans), F.length(data)).otherwise(F.get(spans, i)["start"])
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"])
+        stop = F.when(i == F.size(s), F.length(data)).otherwise(F.get(s, i)["start"])
         return F.decode(F.substring(data, begin + 1, stop - begin), "UTF-8")
 
-    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), piece), "")
-    text = F.when(spans.isNull(), F.col(text_col)).otherwise(kept)
-    removed = F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
-    return joined.select(*[(text if c == text_col else F.col(c)).alias(c) for c in names], removed.alias("removed"))
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), piece), "")
+    text = F.when(s.isNull(), F.col(text_col)).otherwise(kept)
+    some = some.select(*[(text if c == text_col else F.col(c)).alias(c) for c in names], F.coalesce(s, F.array().cast(kind)).alias("removed"))
+    return same.unionByName(some)

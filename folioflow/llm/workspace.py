@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,18 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release_unused(spark: SparkSession) -> None:
     """Have the driver find plans that nothing refers to any more, so that their files can go."""
     gc.collect()

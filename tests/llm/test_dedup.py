@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from folioflow.llm import components, dart_minhash, exact_dedup, near_dedup, substring_dedup, suffix_dedup, suffix_sort
+from folioflow.llm.hashing import Hasher, word_hashes
 
 VOID = (1 << 63) - 1
 
@@ -67,8 +68,18 @@ def components_of(sets, threshold=0.8):
     return {k: u.find(k) for k in keys}
 
 
+def bag(text, width=5):
+    """A text's shingles as a set of (shingle, occurrence): its Jaccard similarity is the weighted one."""
+    w = (text or "").encode().split()
+    times, out = collections.Counter(), set()
+    for x in [tuple(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else [tuple(w)] if w else []:
+        times[x] += 1
+        out.add((x, times[x]))
+    return frozenset(out)
+
+
 def test_near(unique_docs, docs, none):
-    want = components_of({i: shingle_set(t) for i, t in rows_of(unique_docs)})
+    want = components_of({i: bag(t) for i, t in rows_of(unique_docs)})
     out = near_dedup.classes(unique_docs).collect()
     assert {r["doc_id"]: r["group_id"] for r in out} == want
     sizes = collections.Counter(want.values())
@@ -79,6 +90,48 @@ def test_near(unique_docs, docs, none):
     assert near_dedup.classes(none).count() == 0 and near_dedup.keep_one(none).count() == 0
 
 
+def test_near_weighs_shingles_by_their_number(spark):
+    """Families in which sets of shingles are alike and their numbers aren't, and the reverse."""
+    r = np.random.default_rng(4)
+    line = lambda: " ".join(f"w{x}" for x in r.integers(0, 10**6, 12))
+    rows = []
+    for family in range(12):
+        often, tail = line(), " ".join(line() for _ in range(6))
+        for times in (1, 2, 9, 10, 40, 44):
+            rows.append((len(rows), f"{f'{often} ' * times}{tail}{' odd' * (family % 3)}"))
+    want = components_of({i: bag(t) for i, t in rows})
+    assert len(set(want.values())) == 36  # few and few, ten and ten, forty and forty of each family
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["group_id"] for x in got} == want
+
+
+def test_near_copies_of_many_versions(spark):
+    """Versions of one text that fall into several components, under a phrase that all texts share: as brute force."""
+    r = np.random.default_rng(5)
+    phrase = " ".join(f"p{x}" for x in range(30))
+    rows = []
+    for family in range(6):
+        words = [f"f{family}x{x}" for x in range(60)]
+        for _ in range(25):
+            copy = list(words)
+            for at in r.integers(0, 60, r.integers(0, 5)):
+                copy[at] = f"new{r.integers(0, 3)}"
+            rows.append((len(rows), f"{phrase} {' '.join(copy)}"))
+    want = components_of({i: bag(t) for i, t in rows})
+    assert 6 < len(set(want.values())) < 120
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["group_id"] for x in got} == want
+
+
+def test_dart_cells_are_thrown_in_bounded_parts(monkeypatch):
+    r = np.random.default_rng(6)
+    e, w, owner = r.integers(1, 1 << 63, 300, dtype=np.uint64), r.integers(1, 9, 300), np.sort(r.integers(0, 20, 300))
+    whole = dart_minhash.signatures(e, w, owner, 20, 60)
+    monkeypatch.setattr(dart_minhash, "CELLS", 500)
+    assert (dart_minhash.signatures(e, w, owner, 20, 60) == whole).all()
+    assert dart_minhash.signatures(e[:0], w[:0], owner[:0], 2, 60).shape == (2, 60)
+
+
 def test_near_finds_links_beside_the_bucket_lead(spark):
     """In a chain, neighbours are alike but the ends are not: links that don't pass the bucket's lead count too."""
     words = [f"w{i}" for i in range(400)]
@@ -105,18 +158,57 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert (sig[1] == 0xFFFFFFFF).all()
 
 
+def paragraphs_of(text):
+    """(start, end, words) of a text's paragraphs; where the cuts fall has its own tests."""
+    data = (text or "").encode()
+    h = word_hashes([data], Hasher(5))
+    starts = h[2][substring_dedup.paragraph_heads([data], *h)].tolist()
+    return [(a, b, len(data[a:b].split())) for a, b in zip(starts, [*starts[1:], len(data)], strict=False)]
+
+
+def removed_of(texts, least=20):
+    """Spans that go, by document: runs of paragraphs that repeat an earlier one, of ``least`` words or more."""
+    sets = {(i, a, b): shingle_set(texts[i].encode()[a:b].decode()) for i in texts for a, b, _ in paragraphs_of(texts[i])}
+    parts = components_of(sets)
+    out = {}
+    for i in texts:
+        runs = []
+        for a, b, n in paragraphs_of(texts[i]):
+            if parts[i, a, b] != (i, a, b):
+                if runs and runs[-1][1] == a:
+                    runs[-1][1:] = [b, runs[-1][2] + n]
+                else:
+                    runs.append([a, b, n])
+        out[i] = [(a, b) for a, b, n in runs if n >= least]
+    return out
+
+
 def test_paragraphs(unique_docs, docs, none):
     texts = dict(rows_of(unique_docs))
-    sets = {(i, k): shingle_set(line) for i, t in texts.items() for k, line in enumerate((t or "").split("\n")) if len(line.encode().split()) >= 25}
-    parts = components_of(sets)
-    out = substring_dedup.remove_paragraphs(unique_docs)
+    want = removed_of(texts)
+    assert any(want.values())
+    out = substring_dedup.remove_passages(unique_docs)
     assert out.columns == [c for c in unique_docs.columns if c != "removed"] + ["removed"]
     for r in out.collect():
-        gone = [k for k in range(len((texts[r["doc_id"]] or "").split("\n"))) if parts.get((r["doc_id"], k), (r["doc_id"], k)) != (r["doc_id"], k)]
-        assert r["removed"] == gone
         t = texts[r["doc_id"]]
-        assert r["text"] == (t if t is None or not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
-    assert substring_dedup.remove_paragraphs(docs).count() == docs.count() and substring_dedup.remove_paragraphs(none).count() == 0
+        assert [(x["start"], x["end"]) for x in r["removed"]] == want[r["doc_id"]]
+        data = (t or "").encode()
+        kept = bytes(b for k, b in enumerate(data) if not any(a <= k < e for a, e in want[r["doc_id"]])).decode()
+        assert r["text"] == (None if t is None else kept)
+    assert substring_dedup.remove_passages(docs).count() == docs.count() and substring_dedup.remove_passages(none).count() == 0
+
+
+def test_paragraphs_of_rows_that_share_an_id_or_have_none(spark):
+    r = np.random.default_rng(7)
+    text = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    shared, other = text(90), text(90)
+    rows = [(1, shared), (None, f"{text(40)} {shared} {text(40)}"), (None, text(120)), (None, None), (4, f"{text(30)} {other}"), (4, text(80)), (7, f"{other} {text(50)}"), (7, text(70)), (8, text(60)), (8, None)]
+    rows += [rows[8], rows[1]]
+    out = substring_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    lost = sorted((x["doc_id"] or -1, len(x["removed"])) for x in out)
+    assert lost == sorted([(1, 0), (-1, 1), (-1, 1), (-1, 0), (-1, 0), (4, 0), (4, 0), (7, 1), (7, 0), (8, 0), (8, 0), (8, 0)])
+    before = {t for _, t in rows}
+    assert all(x["text"] in before for x in out if not x["removed"])
 
 
 def brute_repeats(texts, length=100):
