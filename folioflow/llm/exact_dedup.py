@@ -5,8 +5,9 @@ the *repeat filter*, built with Spark's bitmap aggregates. Pass 2 tests each row
 filter, which is broadcast. A row with a cell that was hit once is certainly unique and passes
 straight through; only the others are shuffled, grouped by their full SHA-256 and resolved.
 
-The filter has at most ``max_bits`` bits (16 MB at the default), so its broadcast is bounded. On
-corpora for which that is too few bits more rows count as possibly repeated; the result stays the
+One filter has at most ``max_bits`` bits (16 MB at the default), so its broadcast is bounded. A table
+that needs more is worked off in up to ``MOST_RANGES`` ranges of the hash, each with a filter of its own.
+Beyond that more rows count as possibly repeated and are shuffled, as narrow hashes; the result stays the
 same. A text that a third of all rows share is aggregated map-side before it is shuffled, and the
 join back to its rows is a plain sort-merge join that adaptive execution can split.
 """
@@ -16,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import cut, spare_name
+from . import bloom
+from .workspace import cut
 
 SPACES = r"[\x20\x09-\x0D]"
-BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
+MOST_RANGES = 16
 
 
 def normalised(text: Column) -> Column:
@@ -27,98 +29,71 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"),
-        F.char_length(text).cast("long").alias("n"),
-    )
-
-
-def _bits(n_rows: int, max_bits: int) -> int:
-    bits = BUCKET
-    while bits < 16 * n_rows and bits < max_bits:
-        bits *= 2
-    return bits
+def _sha(text_col: str) -> Column:
+    return F.unhex(F.sha2(normalised(F.col(text_col)), 256))
 
 
-def _cells(sha: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(sha, F.lit(i)), F.lit(bits)) for i in (0, 1)]
+def _points(text_col: str) -> Column:
+    return F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
 
 
-def repeat_filter(keys: DataFrame, bits: int) -> DataFrame:
-    """Pass 1: rows (bucket, bitmap) with a bit for each cell that was hit at least twice."""
-    hits = keys.select(F.explode(F.array(*_cells(F.col("sha"), bits))).alias("cell"))
-    again = hits.groupBy("cell").agg(F.count("*").alias("hits")).filter("hits >= 2")
-    at = again.select((F.col("cell") / BUCKET).cast("long").alias("bucket"), F.pmod("cell", F.lit(BUCKET)).alias("at"))
-    return at.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, sha, n) of each row; cut, so that the row's number holds."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _sha(text_col).alias("sha"), _points(text_col).alias("n")))
 
 
-def _flag(df: DataFrame, sha: str, bitmaps: DataFrame, bits: int, out: str) -> DataFrame:
-    """Pass 2: add the boolean ``out``, false where the row is certainly unique."""
-    columns = df.columns
-    tests = []
-    for i, cell in enumerate(_cells(F.col(sha), bits)):
-        bucket, bitmap = spare_name(columns, f"bucket{i}"), spare_name(columns, f"bitmap{i}")
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
-        df = df.withColumn(f"{bucket}_of", (cell / BUCKET).cast("long"))
-        df = df.join(side, F.col(f"{bucket}_of") == F.col(bucket), "left")
-        at = F.pmod(cell, F.lit(BUCKET)).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(bitmap), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        tests.append(F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False)))
-    return df.select(*columns, (tests[0] & tests[1]).alias(out))
+def repeat_filter(keys: DataFrame, bits: int) -> bloom.Filter:
+    """Pass 1: the cells that are hit at least twice."""
+    hits = keys.select(F.explode(F.array(*bloom.cells(F.col("sha"), bits, 2))).alias("cell"))
+    return bloom.of_cells(hits.groupBy("cell").agg(F.count("*").alias("hits")).filter("hits >= 2"), bits, 2)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when they are identical without ASCII white space. Of equal texts the row with
-    the most code points, then the smallest id, stays. Null texts equal empty texts. A null id loses
-    against any other. Rows that repeat the id and text of the row that stays are the same document
-    and are all marked as kept. Only ``id_col`` and ``text_col`` are read; other columns don't matter.
-    """
-    keys = cut(_keys(docs, id_col, text_col))
-    return _resolve(keys, max_bits)[0].withColumnRenamed("id", id_col)
+def flag_repeats(keys: DataFrame, max_bits: int = bloom.MOST_BITS) -> DataFrame:
+    """Pass 2: ``keys`` with the boolean ``maybe``, false where the text is certainly unique."""
+    n = keys.count()
+    ranges = max(1, min(MOST_RANGES, -(-bloom.PER_KEY * n // max_bits)))
+    bits = bloom.bits_for(-(-n // ranges), max_bits)
+    out = None
+    for i in range(ranges):
+        part = keys.filter(F.pmod(F.xxhash64("sha", F.lit("range")), F.lit(ranges)) == i) if ranges > 1 else keys
+        flagged = bloom.flagged(part, F.col("sha"), repeat_filter(part, bits), "maybe")
+        out = flagged if out is None else out.unionByName(flagged)
+    return out
 
 
 def _winners(rep: DataFrame) -> DataFrame:
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("id").isNull().alias("void"), F.col("id").alias("id")))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("id").isNull().alias("void"), F.col("id").alias("id"), F.col("row").alias("row")))
     return rep.groupBy("sha").agg(best.alias("best"), F.count("*").alias("group_size"))
 
 
-def _resolve(keys: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    bits = _bits(keys.count(), max_bits)
-    bitmaps = cut(repeat_filter(keys, bits))
-    flagged = _flag(keys, "sha", bitmaps, bits, "maybe")
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = bloom.MOST_BITS) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when they are identical without ASCII white space. Of equal texts the row with
+    the most code points, then the smallest id, stays, and no other: of rows that tie in both, as repeated
+    rows do, any one. Null texts equal empty texts. A null id loses against any other. Only ``id_col`` and
+    ``text_col`` are read; other columns don't matter. An empty table gives no rows.
+    """
+    flagged = flag_repeats(_keys(docs, id_col, text_col), max_bits)
     winners = cut(_winners(flagged.filter("maybe")))
     alone = flagged.filter("not maybe").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
-    again = flagged.filter("maybe").join(winners, "sha").select(
-        "id",
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n") == -F.col("best.neg"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
-    return alone.unionByName(again), bitmaps, winners, bits
+    again = flagged.filter("maybe").join(winners, "sha")
+    again = again.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return alone.unionByName(again).withColumnRenamed("id", id_col)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = bloom.MOST_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that are certainly unique never leave their partition; only rows that may repeat carry
-    their text through a shuffle. Edge cases are those of ``classify``.
+    Only rows that go, and rows that tie with one that stays, carry their text through a shuffle.
+    Edge cases are those of ``classify``.
     """
-    _, bitmaps, winners, bits = _resolve(cut(_keys(docs, id_col, text_col)), max_bits)
-    sha, maybe, n = (spare_name(docs.columns, c) for c in ("sha_key", "maybe_again", "n_points"))
-    hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    flagged = _flag(hashed, sha, bitmaps, bits, maybe)
-    alone = flagged.filter(~F.col(maybe)).select(*docs.columns)
-    best = winners.select(F.col("sha").alias("w_" + sha), F.col("best.id").alias("w_id_" + sha), (-F.col("best.neg")).alias("w_" + n))
-    again = flagged.filter(F.col(maybe)).withColumn(n, F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
-    again = again.join(
-        best, (F.col(sha) == F.col("w_" + sha)) & F.col(id_col).eqNullSafe(F.col("w_id_" + sha)) & (F.col(n) == F.col("w_" + n)), "left_semi"
-    )
-    return alone.unionByName(again.select(*docs.columns))
+    flagged = flag_repeats(_keys(docs, id_col, text_col), max_bits)
+    again = flagged.filter("maybe")
+    each = again.join(cut(_winners(again).filter("group_size > 1")), "sha")
+    todo = each.groupBy("sha", "id", "n").agg(F.max(F.col("row") == F.col("best.row")).alias("stays"), F.count("*").alias("rows"))
+    todo = todo.filter("not stays or rows > 1").select(F.struct("sha", "id", "n").alias("key"), "stays")
+    key = F.struct(_sha(text_col).alias("sha"), F.col(id_col).alias("id"), _points(text_col).alias("n"))
+    return bloom.settle(docs, key, cut(todo))

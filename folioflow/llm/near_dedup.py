@@ -7,10 +7,11 @@
 3. Pairs whose exact weighted Jaccard similarity (sum of the lesser numbers over sum of the greater ones)
    reaches the threshold are links, and links make components.
 4. Classes of buckets that still hold several components are compared across components, so that no link is
-   lost that would join two; pairs within a component need no comparison. Of these classes, two that reach the
-   threshold share a shingle among the rarest n - ceil(threshold * n) + 1 of each (the order by frequency is
-   the same for both), so joining on these finds every such pair, and a shingle that very many of them have,
-   as a common phrase, joins nothing.
+   lost that would join two; pairs within a component need no comparison. In buckets of more than ``FULL``
+   classes, as a common phrase makes them, only classes that share one of their rarest shingles are.
+
+Before two classes are compared, a bound on how far their parity bits differ rules out most pairs below the
+threshold and none at it (``_alike``), so that few texts are read again.
 
 At a similarity of 0.8 a pair misses all 30 bands of 6 rows with a probability of 1 in 9,000. Steps 3 and 4
 are exact.
@@ -19,6 +20,8 @@ are exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
 VOID = (1 << 63) - 1  # stands for a null id
 BLOCK = 1 << 20
+WORDS = 16  # longs of a document's parity bits
+FULL = 256
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -81,11 +86,14 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int)
             hashes, words_of, _, _ = word_hashes(texts, hasher)
             elements, owner, weights = shingle_bags(hashes, words_of, n, width)
             total = np.bincount(owner, weights, minlength=n).astype(np.int64)
-            one, two = set_hashes(_occurrences(elements, weights), total)
+            named, of = _occurrences(elements, weights), np.repeat(owner, weights)
+            one, two = set_hashes(named, total)
+            bits = parity_bits(named, of, n, WORDS)
             values = band_values(signatures(elements, weights, owner, n, bands * rows), bands, rows)
             some = total > 0
-            columns = [part.column("key"), pa.array(one), pa.array(two), pa.array(total), lists(values[some].ravel(), np.where(some, bands, 0))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "n", "bands"])
+            columns = [part.column("key"), pa.array(one), pa.array(two), pa.array(total)]
+            columns += [lists(bits.ravel(), np.full(n, WORDS)), lists(values[some].ravel(), np.where(some, bands, 0))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "n", "bits", "bands"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -107,49 +115,95 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(shared >= threshold * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def _beside(rest: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of classes (class, part, items) of different parts that share one of their rarest elements, once."""
-    n = F.size("items")
-    each = rest.select("class", "part", n.alias("n"), F.explode("items").alias("item"))
-    often = each.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
-    # Elements that no other class has come first in the order, join nothing, and needn't be listed.
-    listed = each.join(often, "item").groupBy("class", "part", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"))
-    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("order"))
-    keys = listed.select("class", "part", "n", F.explode(F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int"))).alias("o"))
-    keys = keys.select("class", "part", "n", F.col("o.item").alias("item"))
-    other = keys.select(*[F.col(c).alias(f"{c}_b") for c in keys.columns])
-    sized = F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")
-    found = keys.join(other, (F.col("item") == F.col("item_b")) & (F.col("part") < F.col("part_b")) & sized)
-    return found.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
+def parity_bits(elements: np.ndarray, owner: np.ndarray, n: int, words: int) -> np.ndarray:
+    """(n, words) longs: for each bit, whether an odd number of the set's elements fall on it.
+
+    An element that only one of two sets has changes one bit, so at most as many bits differ as elements do.
+    """
+    width = 64 * words
+    odd = np.bincount(owner * width + (mixed(elements) % U(width)).astype(np.int64), minlength=n * width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, words)
+
+
+def _alike(words: int, threshold: float) -> Column:
+    """Whether sizes ``n`` and ``n_b`` and parity bits of two sets leave it possible that they are similar.
+
+    Of two sets at the threshold at most (1 - threshold) / (1 + threshold) * (n + n_b) elements are in one only.
+    """
+    apart = reduce(add, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)])
+    return (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (apart <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n_b")) + 1e-9)
 
 
-def linked_classes(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
-    """(class, component) of the classes in ``signed`` (one, n, bands) that are similar to another one.
+def _second(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
 
-    A class is its set's hash ``one``; a component is named by its least class. ``sets_of`` gives
-    (class, items) for a table of classes (class).
+
+def _in_bucket(rest: DataFrame, alike: Column) -> DataFrame:
+    """(a, b) of a bucket's classes (value, class, part, n, bits) of different parts that may be similar."""
+    found = rest.join(_second(rest), (F.col("value") == F.col("value_b")) & (F.col("part") < F.col("part_b")) & alike)
+    return found.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b"))
+
+
+def _by_rarest(rest: DataFrame, alike: Column, threshold: float) -> DataFrame:
+    """(a, b) of classes (class, part, n, bits, items) of different parts that share one of their rarest elements.
+
+    With all elements in one order, rarest first, two sets at the threshold share one among the first
+    n - ceil(threshold * n) + 1 of each; and from the first shared one on, as many are left in each as the two
+    must share at least.
     """
-    spots = signed.select("one", "n", F.explode("bands").alias("value"))
-    # Partial aggregation reduces copies and hot buckets before they are shuffled.
-    buckets = spots.groupBy("value").agg(F.min("one").alias("lead"), F.min_by("n", "one").alias("lead_n"), F.max("one").alias("last"))
-    buckets = cut(buckets.filter("lead < last").select("value", "lead", "lead_n"), release=True)
-    crowd = bloom.maybe(spots, F.col("value"), bloom.of_keys(buckets, F.col("value"))).join(buckets, "value")
-    crowd = cut(crowd.select("value", "one", "n", "lead", "lead_n").dropDuplicates(["value", "one"]))
-    alike = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
-    pairs = cut(crowd.filter((F.col("one") != F.col("lead")) & alike).select(F.col("lead").alias("a"), F.col("one").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    links = cut(_verified(pairs, sets_of(cut(ends)), threshold), release=True)
+    each = rest.select("class", F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
+    # Elements that no other class has come first in the order, join nothing, and needn't be listed.
+    listed = each.join(often, "item").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"))
+    alone = F.col("n") - F.size("order")
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - alone
+    firsts = F.transform(F.slice("order", 1, F.greatest(most, F.lit(0)).cast("int")), lambda o: o["item"])
+    keys = listed.join(rest.drop("items"), "class").select("class", "part", "n", "bits", alone.alias("alone"), F.posexplode(firsts).alias("at", "item"))
+    keys = keys.select("class", "part", "n", "bits", "item", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
+    enough = F.least("left", "left_b") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-9
+    found = keys.join(_second(keys), (F.col("item") == F.col("item_b")) & (F.col("part") < F.col("part_b")) & enough & alike)
+    return found.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b"))
+
+
+def linked_classes(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], words: int, threshold: float = THRESHOLD, full: int = FULL) -> DataFrame:
+    """(class, component) of the classes in ``signed`` (one, n, bits, bands) that are similar to another one.
+
+    A class is its set's hash ``one``; a component is named by its least class. ``bits`` are ``words`` longs of
+    parity bits. ``sets_of`` gives (class, items) for a table of classes (class). Buckets of more than ``full``
+    classes are searched by rarest elements.
+    """
+    spots = signed.select("one", F.explode("bands").alias("value"))
+    # The least is taken in another order in each bucket, so that a family's buckets have many leads. Partial
+    # aggregation reduces copies and hot buckets before they are shuffled.
+    turned = F.col("one").bitwiseXOR(F.col("value"))
+    buckets = spots.groupBy("value").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low < high")
+    buckets = cut(buckets.select("value", F.col("low").bitwiseXOR(F.col("value")).alias("lead")), release=True)
+    crowd = signed.select("one", "n", "bits", F.explode("bands").alias("value"))
+    crowd = cut(bloom.maybe(crowd, F.col("value"), bloom.of_keys(buckets, F.col("value"))).join(buckets, "value").distinct())
+    alike = _alike(words, threshold)
+    leads = crowd.filter("one = lead").select(F.col("one").alias("a"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).distinct()
+    pairs = crowd.filter("one <> lead").select(F.col("lead").alias("a"), F.col("one").alias("b"), "n", "bits").distinct()
+    pairs = cut(pairs.join(leads, "a").filter(alike).select("a", "b"))
+    links = cut(_verified(pairs, sets_of(_ends(pairs)), threshold), release=True)
 
     parts = connected_components(links)
-    placed = crowd.join(parts.withColumnRenamed("node", "one"), "one", "left").select("value", "one", F.coalesce("component", "one").alias("part"))
-    several = placed.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("value")
-    rest = cut(placed.join(several, "value").select(F.col("one").alias("class"), "part").distinct())
-    if not rest.isEmpty():
-        sets = cut(rest.join(sets_of(rest.select("class")), "class"), release=True)
-        more = cut(_verified(cut(_beside(sets, threshold)), sets.select("class", "items"), threshold), release=True)
-        if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
-    return parts.withColumnRenamed("node", "class")
+    placed = crowd.join(parts.withColumnRenamed("node", "one"), "one", "left").select("value", F.col("one").alias("class"), F.coalesce("component", "one").alias("part"), "n", "bits")
+    several = placed.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    rest = cut(placed.join(several.select("value", "size"), "value"))
+    if rest.isEmpty():
+        return parts.withColumnRenamed("node", "class")
+    more = _in_bucket(rest.filter(F.col("size") <= full).drop("size"), alike)
+    large = rest.filter(F.col("size") > full)
+    if not large.isEmpty():
+        large = cut(large.select("class", "part", "n", "bits").distinct())
+        more = more.unionByName(_by_rarest(cut(large.join(sets_of(large.select("class")), "class")), alike, threshold))
+    more = cut(more.distinct(), release=True)
+    more = cut(_verified(more, sets_of(_ends(more)), threshold), release=True)
+    return connected_components(links.unionByName(more)).withColumnRenamed("node", "class")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
 
 
 def repeated(keyed: DataFrame, parts: DataFrame) -> DataFrame:
@@ -180,21 +234,24 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(key, one, two) of all rows, without a hash where there is no word, and the groups (see ``repeated``)."""
+    """(key, one, two) of all rows, without the first hash where there is no word, and the groups (see ``repeated``)."""
     ship(docs.sparkSession)
-    items = docs.select(_row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    schema = f"key {items.schema['key'].dataType.simpleString()}, one bigint, two bigint, n bigint, bands array<bigint>"
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
+    # Rows of one id and text differ in their number, which holds since the table is cut.
+    items = docs.select(F.struct(_row_key(id_col, text_col).getField("id").alias("id"), _row_key(id_col, text_col).getField("mark").alias("mark"), F.monotonically_increasing_id().alias("row")).alias("key"), data)
+    schema = f"key {items.schema['key'].dataType.simpleString()}, one bigint, two bigint, n bigint, bits array<bigint>, bands array<bigint>"
     signed = cut(items.mapInArrow(lambda batches: _sign(batches, bands, rows, width), schema))
     keyed = signed.select("key", F.when(F.col("n") > 0, F.col("one")).alias("one"), "two")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         # One member's text stands for its class.
         member = bloom.maybe(keyed, F.col("one"), bloom.of_keys(wanted, F.col("class"))).join(wanted, F.col("one") == F.col("class"), "left_semi")
-        member = cut(member.groupBy(F.col("one").alias("class")).agg(F.min("key").alias("key")))
-        texts = bloom.maybe(items, F.col("key"), bloom.of_keys(member, F.col("key"))).join(member, "key").dropDuplicates(["class"])
+        member = member.groupBy(F.col("one").alias("class")).agg(F.min("key").alias("key")).select("class", F.struct("key.id", "key.mark").alias("key"))
+        member, texts = cut(member), docs.select(_row_key(id_col, text_col).alias("key"), data)
+        texts = bloom.maybe(texts, F.col("key"), bloom.of_keys(member, F.col("key"))).join(member, "key").dropDuplicates(["class"])
         return cut(texts.select("class", "data").mapInArrow(lambda batches: _bags(batches, width), "class bigint, items array<bigint>"))
 
-    parts = linked_classes(signed.filter("n > 0"), sets_of, threshold)
+    parts = linked_classes(signed.filter("n > 0"), sets_of, WORDS, threshold)
     return keyed, repeated(keyed.filter("one is not null"), parts)
 
 
@@ -210,30 +267,18 @@ def classes(
     """
     keyed, groups = _grouped(docs, id_col, text_col, threshold, width, bands, rows)
     rows_of = bloom.flagged(keyed, F.col("one"), bloom.of_keys(groups, F.col("one")), "may")
-    some = rows_of.filter("may").join(groups, ["one", "two"], "left")
-    each = some.filter("lead is not null").groupBy("key", "lead", "size").agg(F.count("*").alias("n"))
-    each = each.select("key", "lead", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    alone = rows_of.filter("not may").select("key").unionByName(some.filter("lead is null").select("key"))
-    alone = alone.select("key", F.col("key").alias("lead"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("i"))
+    some = rows_of.filter("may").join(groups, ["one", "two"], "left").select("key", F.coalesce("lead", "key").alias("lead"), F.coalesce("size", F.lit(1)).alias("size"))
+    alone = rows_of.filter("not may").select("key", F.col("key").alias("lead"), F.lit(1).cast("long").alias("size"))
     back = lambda c: F.when(F.col(f"{c}.id") != VOID, F.col(f"{c}.id")).cast(docs.schema[id_col].dataType)
-    kept = (F.col("key") == F.col("lead")) & (F.col("i") == 1)
-    return each.unionByName(alone).select(back("key").alias(id_col), back("lead").alias("group_id"), F.col("size").alias("group_size"), kept.alias("kept"))
+    return some.unionByName(alone).select(back("key").alias(id_col), back("lead").alias("group_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("lead")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group (see ``classes``).
 
-    A row that certainly stands alone is not shuffled.
+    A row that certainly stays and repeats no other is not shuffled.
     """
     keyed, groups = _grouped(docs, id_col, text_col, THRESHOLD, SHINGLE, BANDS, ROWS)
-    members = placed(keyed, groups).groupBy("key", "lead").agg(F.count("*").alias("n"))
-    name = spare_name(docs.columns, "row_key")
-    todo = cut(members.filter("key <> lead or n > 1").select(F.col("key").alias(name), (F.col("key") == F.col("lead")).alias("stays")))
-    may = spare_name(docs.columns, "may_match")
-    flagged = bloom.flagged(docs.withColumn(name, _row_key(id_col, text_col)), F.col(name), bloom.of_keys(todo, F.col(name)), may)
-    alone = flagged.filter(~F.col(may)).select(*docs.columns)
-    some = flagged.filter(F.col(may))
-    others = some.join(todo, name, "left_anti").select(*docs.columns)
-    # Copies are dropped map-side first, so that a row that very many others repeat isn't gathered.
-    once = some.dropDuplicates([name]).join(todo.filter("stays"), name, "left_semi").select(*docs.columns)
-    return alone.unionByName(others).unionByName(once)
+    members = placed(keyed, groups).groupBy("key.id", "key.mark").agg(F.max(F.col("key") == F.col("lead")).alias("stays"), F.count("*").alias("n"))
+    todo = cut(members.filter("not stays or n > 1").select(F.struct("id", "mark").alias("key"), "stays"))
+    return bloom.settle(docs, _row_key(id_col, text_col), todo)

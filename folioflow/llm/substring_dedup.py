@@ -18,7 +18,6 @@ At a similarity of 0.8 a pair misses all 6 bands of 2 rows with a probability of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +27,12 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .hashing import Hasher, U, mixed, small_shingles, word_hashes
-from .near_dedup import SHINGLE, THRESHOLD, VOID, band_values, blocks, linked_classes, lists, placed, repeated, set_hashes
+from .near_dedup import SHINGLE, THRESHOLD, VOID, band_values, blocks, linked_classes, lists, parity_bits, placed, repeated, set_hashes
 from .workspace import cut, drop_folder, shared_folder, ship, spare_name
 
 BANDS, ROWS = 6, 2
 REACH, MOST, LEAST = 10, 64, 20
+WORDS = 1  # longs of a paragraph's parity bits
 
 
 def min_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -76,43 +76,59 @@ def paragraph_heads(texts: list[bytes], hashes: np.ndarray, owner: np.ndarray, s
     return least
 
 
-def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """``make`` for each block's paragraphs: words' hashes, owners, places, heads, and shingles by paragraph."""
     hasher = Hasher(5)
     for batch in batches:
         for part, texts in blocks(batch):
             hashes, owner, start, end = word_hashes(texts, hasher)
             heads = paragraph_heads(texts, hashes, owner, start, end)
-            if not len(heads):
-                continue
-            first = np.flatnonzero(heads)
-            n = len(first)
-            elements, of = small_shingles(hashes, np.cumsum(heads) - 1, n, width)
-            counts = np.bincount(of, minlength=n)
-            one, two = set_hashes(elements, counts)
-            values = band_values(min_signatures(elements << U(20), of, n, bands * rows), bands, rows)
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            doc = owner[first]
-            begin = start[first] - (np.cumsum(sizes) - sizes)[doc]
-            stop = np.append(begin[1:], 0)
-            last = np.append(doc[1:] != doc[:-1], True)
-            stop[last] = sizes[doc[last]] - 1
-            words = np.diff(np.append(first, len(hashes)))
-            whole = lambda x: pa.array(x.astype(np.int32))
-            columns = [part.column("id").take(pa.array(doc)), part.column("mark").take(pa.array(doc)), whole(begin), whole(stop), whole(words)]
-            columns += [pa.array(one), pa.array(two), whole(counts), lists(values.ravel(), np.full(n, bands)), lists(elements.view(np.int64), counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "start", "end", "words", "one", "two", "n", "bands", "items"])
+            if len(heads):
+                first = np.flatnonzero(heads)
+                elements, of = small_shingles(hashes, np.cumsum(heads) - 1, len(first), SHINGLE)
+                yield make(part, texts, len(hashes), owner[first], start[first], first, elements, of)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    def make(part, texts, n_words, doc, begin, first, elements, of):
+        n = len(first)
+        counts = np.bincount(of, minlength=n)
+        one, two = set_hashes(elements, counts)
+        values = band_values(min_signatures(elements << U(20), of, n, bands * rows), bands, rows)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        begin = begin - (np.cumsum(sizes) - sizes)[doc]
+        stop = np.append(begin[1:], 0)
+        last = np.append(doc[1:] != doc[:-1], True)
+        stop[last] = sizes[doc[last]] - 1
+        words = np.diff(np.append(first, n_words))
+        whole = lambda x: pa.array(x.astype(np.int32))
+        columns = [part.column("id").take(pa.array(doc)), part.column("mark").take(pa.array(doc)), whole(begin), whole(stop), whole(words)]
+        columns += [pa.array(one), pa.array(two), whole(counts)]
+        columns += [lists(parity_bits(elements, of, n, WORDS).ravel(), np.full(n, WORDS)), lists(values.ravel(), np.full(n, bands))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "mark", "start", "end", "words", "one", "two", "n", "bits", "bands"])
+
+    return _parts(batches, make)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(part, texts, n_words, doc, begin, first, elements, of):
+        counts = np.bincount(of, minlength=len(first))
+        return pa.RecordBatch.from_arrays([pa.array(set_hashes(elements, counts)[0]), lists(elements.view(np.int64), counts)], ["class", "items"])
+
+    return _parts(batches, make)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, data) of texts: the id as a long, the largest one standing for null, and the text's hash."""
+    whole = docs.filter(F.col(text_col).isNotNull())
+    return whole.select(F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("data"))
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, mark, start, end, words, one, two, n, bands, items) of each paragraph; start and end in bytes.
-
-    ``id`` is the document's id as a long, the largest one standing for null, and ``mark`` its text's hash.
-    """
+    """(id, mark, start, end, words, one, two, n, bits, bands) of each paragraph; start and end in bytes."""
     ship(docs.sparkSession)
-    whole = docs.filter(F.col(text_col).isNotNull())
-    whole = whole.select(F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("data"))
-    schema = "id bigint, mark bigint, start int, end int, words int, one bigint, two bigint, n int, bands array<bigint>, items array<bigint>"
-    return whole.mapInArrow(lambda batches: _sign(batches, bands, rows, SHINGLE), schema)
+    schema = "id bigint, mark bigint, start int, end int, words int, one bigint, two bigint, n int, bits array<bigint>, bands array<bigint>"
+    return _keyed(docs, id_col, text_col).mapInArrow(lambda batches: _sign(batches, bands, rows), schema)
 
 
 def repeated_passages(
@@ -126,10 +142,15 @@ def repeated_passages(
     table = spark.read.parquet(folder)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        some = bloom.maybe(table.select("one", "items"), F.col("one"), bloom.of_keys(wanted, F.col("class")))
-        return cut(some.join(wanted, F.col("one") == F.col("class"), "left_semi").groupBy(F.col("one").alias("class")).agg(F.first("items").alias("items")))
-
-    parts = linked_classes(table, sets_of, threshold)
+        # The texts that have a class first are read again for it; no others are shuffled.
+        member = bloom.maybe(table.select("one", "id", "mark"), F.col("one"), bloom.of_keys(wanted, F.col("class"))).join(wanted, F.col("one") == F.col("class"), "left_semi")
+        member = cut(member.groupBy("one").agg(F.min(F.struct("id", "mark")).alias("key")).select("key.*").distinct())
+        key = F.struct("id", "mark")
+        texts = bloom.maybe(_keyed(docs, id_col, text_col), key, bloom.of_keys(member, key)).join(member, ["id", "mark"], "left_semi")
+        found = texts.select("data").mapInArrow(_sets, "class bigint, items array<bigint>")
+        return cut(bloom.maybe(found, F.col("class"), bloom.of_keys(wanted, F.col("class"))).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
+
+    parts = linked_classes(table, sets_of, WORDS, threshold)
     keyed = table.select(F.struct("id", "start", "end", "mark").alias("key"), "words", "one", "two")
     groups = repeated(keyed, parts)
     gone = placed(keyed, groups).filter("key <> lead").select("key.*", "words").distinct()

@@ -40,17 +40,29 @@ def test_exact(docs, none, bits):
         groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), i is None, i or 0))
     want = collections.Counter()
     for k, v in groups.items():
-        best = min(v)
-        for n, void, i in v:
-            keep = None if best[1] else best[2]
-            want[None if void else i, keep, len(v), (n, void, i) == best, hashlib.sha256(k.encode()).hexdigest()] += 1
+        for at, (n, void, i) in enumerate(sorted(v)):
+            keep = None if min(v)[1] else min(v)[2]
+            want[None if void else i, keep, len(v), at == 0, hashlib.sha256(k.encode()).hexdigest()] += 1
     got = exact_dedup.classify(docs, max_bits=bits)
     assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got.collect()) == want
     kept = exact_dedup.deduplicate(docs, max_bits=bits)
-    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if k[3])
+    assert kept.columns == docs.columns
+    stays = [min((-len(t or ""), i is None, i or 0) for i, t in rows_of(docs) if re.sub("[\x20\x09-\x0d]", "", t or "") == k) for k in groups]
+    assert collections.Counter((-len(t or ""), i is None, i or 0) for i, t in rows_of(kept)) == collections.Counter(stays)
     assert exact_dedup.classify(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [1 << 15, 1 << 27])
+def test_exact_past_the_filters_size(spark, max_bits):
+    """30,000 rows need 15 filters of the least size; hardly a row that is unique counts as possibly repeated."""
+    rows = [(i, f"text {i}") for i in range(29_000)] + [(40_000 + i, f"te xt{i}") for i in range(1000)] + [(None, "same")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    flagged = exact_dedup.flag_repeats(exact_dedup._keys(df, "doc_id", "text"), max_bits)
+    assert flagged.count() == 30_200 and 2200 <= flagged.filter("maybe").count() <= 2900
+    kept = exact_dedup.deduplicate(df, max_bits=max_bits)
+    assert kept.count() == 29_001 and kept.filter("doc_id is null").count() == 1 and exact_dedup.classify(df, max_bits=max_bits).filter("kept").count() == 29_001
+
+
 def shingle_set(text, width=5):
     w = (text or "").encode().split()
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
@@ -105,7 +117,8 @@ def test_near_weighs_shingles_by_their_number(spark):
     assert {x["doc_id"]: x["group_id"] for x in got} == want
 
 
-def test_near_copies_of_many_versions(spark):
+@pytest.mark.parametrize("full", [0, 256])
+def test_near_copies_of_many_versions(spark, monkeypatch, full):
     """Versions of one text that fall into several components, under a phrase that all texts share: as brute force."""
     r = np.random.default_rng(5)
     phrase = " ".join(f"p{x}" for x in range(30))
@@ -119,10 +132,22 @@ def test_near_copies_of_many_versions(spark):
             rows.append((len(rows), f"{phrase} {' '.join(copy)}"))
     want = components_of({i: bag(t) for i, t in rows})
     assert 6 < len(set(want.values())) < 120
+    monkeypatch.setattr(near_dedup.linked_classes, "__defaults__", (0.8, full))  # large buckets and small ones
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {x["doc_id"]: x["group_id"] for x in got} == want
 
 
+def test_parity_bits_differ_in_no_more_places_than_elements():
+    r = np.random.default_rng(8)
+    for words in (1, 2, 16):
+        for _ in range(60):
+            a, b = (set(r.integers(0, r.integers(5, 400), r.integers(0, 300)).tolist()) for _ in "ab")
+            x = np.array([*a, *b], np.uint64)
+            bits = near_dedup.parity_bits(x, np.repeat([0, 2], [len(a), len(b)]), 3, words)
+            apart = sum(bin(int(p ^ q) & (1 << 64) - 1).count("1") for p, q in zip(bits[0].tolist(), bits[2].tolist(), strict=True))
+            assert apart <= len(a ^ b) and (len(a ^ b) - apart) % 2 == 0 and not bits[1].any()
+
+
 def test_dart_cells_are_thrown_in_bounded_parts(monkeypatch):
     r = np.random.default_rng(6)
     e, w, owner = r.integers(1, 1 << 63, 300, dtype=np.uint64), r.integers(1, 9, 300), np.sort(r.integers(0, 20, 300))
@@ -235,6 +260,21 @@ def test_suffix_removal(docs, none, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_removal_of_rows_that_share_an_id_or_have_none(spark):
+    """Against brute force with documents in the order of (id, text's hash), null ids last."""
+    r = np.random.default_rng(9)
+    text = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    a, b, c, d = text(700), text(700), text(400), text(300)
+    rows = [(1, a), (None, a[:300] + b[:300]), (None, c), (None, None), (2, b), (2, c + d), (2, a[:150]), (3, d[:200] + text(50)), (3, ""), (2, b), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {(x["doc_id"], x["text"]): x["mark"] for x in df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS mark").collect()}
+    place = {k: n for n, k in enumerate(sorted(order, key=lambda k: (VOID if k[0] is None else k[0], order[k])))}
+    want = brute_repeats({(place[k], (k[1] or "").encode()) for k in order})
+    got = suffix_dedup.remove_repeats(df).collect()
+    key = lambda i, kept, n: (VOID if i is None else i, kept, n)
+    assert sorted(key(x["doc_id"], bytes(x["kept"]), sum(s["end"] - s["start"] for s in x["removed"])) for x in got) == sorted(key(i, *want[place[i, t]]) for i, t in rows)
+
+
 def test_suffix_groups_across_small_batches(monkeypatch):
     """The streaming group step gives the same rows however its input is cut into batches."""
     r = np.random.default_rng(2)
