@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .workspace import cut, spare_name
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -194,13 +195,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; no text is shuffled."""
-    model = fit(features(docs, id_col, text_col, keep=[]))
-    held = spare_name(docs.columns, "held_row")
-    rows = docs.withColumn(held, F.struct(*docs.columns))
-    # A column that isn't deterministic keeps the filter above the features: pushed below, it would hold
-    # each of their expressions many times over.
-    place = spare_name(docs.columns, "row_place")
-    judged = features(rows, id_col, text_col, keep=[held]).withColumn(place, F.monotonically_increasing_id())
-    good = judged.filter((F.col(place) >= 0) & ~F.col("base_failed") & (posterior(model) >= threshold))
-    return good.select(*[F.col(held).getField(c).alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Texts are measured once; of them only an id, a hash and the votes are written. Rows are judged by their
+    texts, so repeated rows, ties and rows that share an id or have none are judged each for itself. Null and
+    empty texts go, and an empty table gives no rows.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    name = spare_name(docs.columns, "row_key")
+    voted = cut(features(docs.withColumn(name, key), id_col, text_col, keep=[name]))
+    model = fit(voted)
+    bad = voted.filter(F.col("base_failed") | (posterior(model) < threshold)).select(F.col(name).alias("key"), F.lit(False).alias("stays"))
+    return bloom.settle(docs, key, cut(bad.distinct()))

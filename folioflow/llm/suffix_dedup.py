@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from .hashing import Hasher, U, mixed
 from .suffix_sort import lay_out, long_common, suffix_array
-from .workspace import ship
+from .workspace import cut, ship
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # grams in a window
 BLOCK = 1 << 20
 SORT_BYTES = 1_000_000
 HOT = 20_000
+VOID = (1 << 63) - 1  # stands for a null id
 SETTLED, OPEN, HOT_OPEN = 0, 1, 2
 
 
@@ -328,17 +329,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, kept (bytes), removed (spans in bytes), n_bytes.
 
     Texts are UTF-8 bytes, null ones empty; texts under 100 bytes lose nothing. Ids are whole numbers;
-    a null id counts as the largest. Rows that repeat an id and text are the same document; of rows
-    with one id and different texts, all lose what any of them would. Only the two named columns are
-    read. An empty table gives no rows.
+    a null id counts as the largest. Rows that repeat an id and text are the same document; rows with one
+    id, or none, and different texts are different documents, in the order of their texts' hashes. Only the
+    two named columns are read. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    id_, data = F.coalesce(F.col(id_col).cast("long"), F.lit(VOID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
+    rows = docs.select(id_, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), data)
+    named = None
+    if rows.groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low < high").isEmpty():
+        keyed = rows.select(F.col("id").alias("key"), "data")
+    else:
+        # Ids don't tell the documents apart: number them in order of id and text's hash.
+        named = rows.select("id", "mark").distinct().repartitionByRange(n, "id", "mark").sortWithinPartitions("id", "mark")
+        named = cut(named.select("id", "mark", F.monotonically_increasing_id().alias("key")))
+        keyed = rows.join(named, ["id", "mark"]).select("key", "data")
     # One exchange of the texts, by document, feeds the search, the fetch and the cutting: all three must
     # ask for the same columns to share it. The same holds for the exchange of what was found.
-    dealt = docs.select(key.alias("key"), data.alias("data")).repartition(n, "key")
+    dealt = keyed.repartition(n, "key")
     stretches = dealt.mapInArrow(_find, "anchor long, context long, key long, at long")
     sorted_ = stretches.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "key", "at")
     grouped = sorted_.select("anchor", "context", "key", "at").mapInArrow(partial(_group, limit=hot), "anchor long, key long, at long")
@@ -349,8 +358,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     compared = contexts.repartition(n, "anchor").sortWithinPartitions("anchor", "key", "at").mapInArrow(_compare, "key long, at long")
     more = compared.repartition(n, "key").groupBy("key").agg(F.collect_list("at").alias("more"))
     settled = lists.select("key", F.filter(F.transform("found", lambda x: x["at"]), lambda x: x.bitwiseAND(F.lit(3)) == SETTLED).alias("ats"))
-    back = F.when(F.col("key") != (1 << 63) - 1, F.col("key")).cast(docs.schema[id_col].dataType).alias("id")
-    joined = dealt.join(settled, "key", "left").join(more, "key", "left").select(back, "data", "ats", "more")
+    joined = dealt.join(settled, "key", "left").join(more, "key", "left")
+    joined = joined.withColumn("id", F.col("key")) if named is None else joined.join(named.select("key", "id"), "key")
+    joined = joined.select(F.when(F.col("id") != VOID, F.col("id")).cast(docs.schema[id_col].dataType).alias("id"), "data", "ats", "more")
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.mapInArrow(_cut_out, f"id {kind}, kept binary, removed array<struct<start:bigint,end:bigint>>, n_bytes long")
     return out.withColumnRenamed("id", id_col)
