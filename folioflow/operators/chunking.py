@@ -72,6 +72,8 @@ def word_windows(text: Column, size: int = 250, overlap: int = 30) -> Column:
     step = max(1, size - overlap)
     stripped = tx.strip(text)
     words = F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, rf"(?U){tx.BLANK}+"))
-    last = F.greatest(F.ceil((F.size(words) - size) / F.lit(step)), F.lit(0)).cast("int")
-    many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
+    last = lambda w: F.greatest(F.ceil((F.size(w) - size) / F.lit(step)), F.lit(0)).cast("int")
+    # An outer transform binds the words, which would be split again for each window.
+    windows = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+    many = F.get(F.transform(F.array(words), windows), 0)
     return F.when(F.size(words) <= size, F.array(text)).otherwise(many)

@@ -17,12 +17,14 @@ def fuse(hits: DataFrame, rrf_k: int = 60) -> DataFrame:
     """(qid, item, score, channel, rank, position): summed weight / (rrf_k + rank), best first.
 
     ``channel`` and ``rank`` are those of the item's first occurrence, by channel and then rank, which
-    also orders equal scores. An item that a channel lists twice counts twice.
+    also orders equal scores. An item that a channel lists twice counts twice. A column ``source`` is carried
+    from there too.
     """
-    first = F.min(F.struct("channel", "rank")).alias("first")
+    source = ["source"] if "source" in hits.columns else []
+    first = F.min(F.struct("channel", "rank", *source)).alias("first")
     score = F.round(F.sum(F.col("weight") / (rrf_k + F.col("rank"))), 12).alias("score")
     fused = hits.groupBy("qid", "item").agg(score, first)
-    fused = fused.select("qid", "item", "score", F.col("first.channel").alias("channel"), F.col("first.rank").alias("rank"))
+    fused = fused.select("qid", "item", "score", F.col("first.channel").alias("channel"), F.col("first.rank").alias("rank"), *[F.col(f"first.{c}").alias(c) for c in source])
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "channel", "rank", "item")
     return fused.withColumn("position", F.row_number().over(order))
 

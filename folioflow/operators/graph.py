@@ -78,8 +78,8 @@ def cooccurring(placed: DataFrame) -> DataFrame:
 
 
 def entity_frequency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity, freq): distinct chunks that mention an entity; 0 for those only triples name."""
-    counts = edges.filter("key = 'MENTIONS'").groupBy(F.col("dst").alias("entity")).agg(F.count_distinct("src").alias("freq"))
+    """(entity, freq): chunks that mention an entity, each by one edge; 0 for those only triples name."""
+    counts = edges.filter("key = 'MENTIONS'").groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("freq"))
     entities = nodes.filter("ntype = 'entity'").select(F.col("id").alias("entity"))
     return entities.join(counts, "entity", "left").select("entity", F.coalesce("freq", F.lit(0)).alias("freq"))
 
@@ -130,25 +130,29 @@ def _cuts(run, suffixes: bool):
     return F.transform(F.filter(at, fits), lambda i: F.substring(run, F.lit(1), i))
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b) both ways, once."""
-    there = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return there.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+def neighbours(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, node): nodes beside those of ``frontier`` (qid, node), edges taken both ways; the edges are not turned round as a table."""
+    out = frontier.join(edges, frontier["node"] == edges["src"]).select("qid", F.col("dst").alias("node"))
+    return out.unionByName(frontier.join(edges, frontier["node"] == edges["dst"]).select("qid", F.col("src").alias("node")))
 
 
-def reached_entities(nodes: DataFrame, edges: DataFrame, linked: DataFrame, hops: int = 1) -> DataFrame:
+def reached_entities(nodes: DataFrame, edges: DataFrame, linked: DataFrame, hops: int = 1, implied: bool = False) -> DataFrame:
     """(qid, entity, dist): entities within ``hops`` undirected edges of a query's anchors, nearest distance.
 
-    The search passes through chunks and documents too. It is one join per hop over the frontier.
+    The search passes through chunks and documents too. It is one join per hop over the frontier. With
+    ``implied`` two entities of one chunk are neighbours, as if co-occurrence edges stood in the table; their
+    number is quadratic in a chunk's entities, and the search needs the frontier's only.
     """
     frontier = linked.select("qid", F.col("entity").alias("node"), F.lit(0).alias("dist")).distinct()
-    known = frontier
-    if hops:
-        both = undirected(edges)
-        for d in range(1, hops + 1):
-            step = frontier.join(both, frontier["node"] == both["a"]).select("qid", F.col("b").alias("node")).distinct()
-            frontier = step.join(known.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("dist", F.lit(d))
-            known = known.unionByName(frontier)
+    known, plain = frontier, edges.select("src", "dst")
+    mention = edges.filter("key = 'MENTIONS'").select(F.col("src").alias("chunk"), F.col("dst").alias("entity"))
+    for d in range(1, hops + 1):
+        step = neighbours(frontier.select("qid", "node"), plain)
+        if implied:
+            at = frontier.join(mention, frontier["node"] == mention["entity"]).select("qid", "chunk").distinct()
+            step = step.unionByName(at.join(mention, "chunk").select("qid", F.col("entity").alias("node")))
+        frontier = step.distinct().join(known.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("dist", F.lit(d))
+        known = known.unionByName(frontier)
     entities = nodes.filter("ntype = 'entity'").select(F.col("id").alias("node"))
     return known.join(entities, "node", "left_semi").select("qid", F.col("node").alias("entity"), "dist")
 
@@ -190,35 +194,47 @@ def expand(nodes: DataFrame, edges: DataFrame, queries: DataFrame, hops: int = 1
     return out.select("qid", *[F.coalesce(c, none).alias(c) for c in ("chunk_ids", "doc_ids", "entity_names", "paths")])
 
 
-def multihop_candidates(nodes: DataFrame, edges: DataFrame, eligible: DataFrame | None = None, bridges: DataFrame | None = None, seed: str = "42") -> DataFrame:
+def multihop_candidates(nodes: DataFrame, edges: DataFrame, eligible: DataFrame | None = None, bridges: DataFrame | None = None, seed: str = "42", tries: int = 8) -> DataFrame:
     """(a, b, c1, c2): entity A beside B in chunk C1, and a bridge chunk C2 about B, of another document, without A.
 
-    One candidate per (B, C1), drawn by a seeded hash. B occurs in at least two ``eligible`` chunks
-    (chunk_id); ``bridges`` (entity) restricts B. For each B the pairs of its chunks are compared, which is
-    quadratic in an entity's frequency by definition; restrict B where hubs are not wanted.
+    One candidate per (B, C1): B's chunks have a seeded order, and the first that fits is taken, with the least
+    A. B occurs in at least two ``eligible`` chunks (chunk_id); ``bridges`` (entity) restricts B. The first
+    ``tries`` chunks of each B nearly always hold one that fits, so B's chunks are not paired with each other;
+    only a (B, C1) that none of them fits is held against all of B's chunks.
     """
     named = nodes.filter("ntype = 'entity'").select(F.col("id").alias("entity"), tx.normal_name(F.col("name")).alias("name")).filter(F.char_length("name") >= LEAST_NAME)
     mention = edges.filter("key = 'MENTIONS'").select(F.col("src").alias("chunk"), F.col("dst").alias("entity")).distinct().join(named, "entity")
     docs = nodes.filter("ntype = 'chunk'").select(F.col("id").alias("chunk"), "doc_id")
     about = mention if bridges is None else mention.join(bridges.select("entity"), "entity", "left_semi")
     about = about if eligible is None else about.join(eligible.select(F.col("chunk_id").alias("chunk")), "chunk", "left_semi")
-    about = about.join(docs, "chunk").select(F.col("entity").alias("b"), F.col("name").alias("b_name"), "chunk", "doc_id")
-    c1 = about.select("b", "b_name", F.col("chunk").alias("c1"), F.col("doc_id").alias("doc1"))
-    c2 = about.select("b", F.col("chunk").alias("c2"), F.col("doc_id").alias("doc2"))
+    draw = F.md5(F.concat(F.lit(seed), F.col("entity"), F.lit("|"), F.col("chunk")))
+    about = about.join(docs, "chunk").select(F.col("entity").alias("b"), F.col("name").alias("b_name"), "chunk", "doc_id", draw.alias("draw"))
+    inside = mention.groupBy("chunk").agg(F.collect_set("entity").alias("inside"))
+    second = about.join(inside, "chunk").select("b", "draw", F.col("chunk").alias("c2"), F.col("doc_id").alias("doc2"), "inside")
     beside = mention.select(F.col("chunk").alias("c1"), F.col("entity").alias("a"), F.col("name").alias("a_name"))
-    pairs = c1.join(beside, "c1").filter("a <> b and a_name <> b_name").join(c2, "b").filter("c1 <> c2 and not (doc1 <=> doc2)")
-    without = pairs.join(mention.select(F.col("chunk").alias("c2"), F.col("entity").alias("a")), ["c2", "a"], "left_anti")
-    draw = F.struct(F.md5(F.concat(F.lit(seed), F.col("a"), F.lit("|"), F.col("c2"))).alias("d"), "a", "c2")
-    one = without.groupBy("b", "c1").agg(F.min(draw).alias("m"))
+    asked = about.select("b", "b_name", F.col("chunk").alias("c1"), F.col("doc_id").alias("doc1")).join(beside, "c1").filter("a <> b and a_name <> b_name").select("b", "c1", "doc1", "a")
+
+    place = Window.partitionBy("b").orderBy("draw", "c2")
+    firsts = second.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= tries)
+    firsts = firsts.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("draw", "c2", "doc2", "inside"))).alias("firsts"))
+    fits = lambda x: (x["c2"] != F.col("c1")) & ~x["doc2"].eqNullSafe(F.col("doc1")) & ~F.array_contains(x["inside"], F.col("a"))
+    tried = asked.join(firsts, "b").withColumn("hit", F.get(F.filter("firsts", fits), F.lit(0)))
+    best = F.min(F.when(F.col("hit").isNotNull(), F.struct("hit.draw", "a", "hit.c2"))).alias("m")
+    tried = tried.groupBy("b", "c1", "doc1").agg(best, F.collect_set("a").alias("as"), F.max(F.size("firsts")).alias("n"))
+    # Only where as many were tried as there may be is there anything left to try.
+    open_ = tried.filter((F.col("m").isNull()) & (F.col("n") == tries)).select("b", "c1", "doc1", F.explode("as").alias("a"))
+    rest = open_.join(second, "b").filter((F.col("c2") != F.col("c1")) & ~F.col("doc2").eqNullSafe(F.col("doc1")) & ~F.array_contains("inside", F.col("a")))
+    rest = rest.groupBy("b", "c1").agg(F.min(F.struct("draw", "a", "c2")).alias("m"))
+    one = tried.filter("m is not null").select("b", "c1", "m").unionByName(rest.select("b", "c1", "m"))
     return one.select(F.col("m.a").alias("a"), "b", "c1", F.col("m.c2").alias("c2"))
 
 
 def ego(nodes: DataFrame, edges: DataFrame, names: list[str], hops: int = 1, label_chars: int = 24) -> tuple[DataFrame, DataFrame]:
     """Nodes, with a short display label, and induced edges around the entities with the given names."""
     start = nodes.filter(F.lower("name").isin([n.lower() for n in names])).select(F.lit(0).alias("qid"), F.col("id").alias("node"))
-    both, known = undirected(edges), start.distinct()
+    known = start.distinct()
     for _ in range(hops):
-        known = known.unionByName(known.join(both, known["node"] == both["a"]).select("qid", F.col("b").alias("node"))).distinct()
+        known = known.unionByName(neighbours(known, edges.select("src", "dst"))).distinct()
     inside = known.select(F.col("node").alias("id"))
     shown = nodes.join(inside, "id", "left_semi").withColumn("display", F.substring(F.coalesce("name", "id"), 1, label_chars))
     induced = edges.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")

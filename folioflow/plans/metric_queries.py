@@ -12,11 +12,9 @@ from .search_queries import sparse_sql, word_search
 #: Words of an anchor.
 SHINGLE = 4
 
-#: Questions are the benchmark texts. The gold is the first document that contains the text; this SQL finds only
-#: those that also have its first line as a whole line (see REPLY_r01.md).
-GOLD_SQL = """line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, text FROM documents),
-gold AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'visual' ELSE 'multihop' END AS qtype, min(doc_id) AS gold
-  FROM benchmark b LEFT JOIN line ON line.line = string_split(b.text, chr(10))[1] AND contains(line.text, b.text) GROUP BY ALL),
+#: Questions are the benchmark texts. The gold is the first document that contains the text.
+GOLD_SQL = """gold AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'visual' ELSE 'multihop' END AS qtype, min(doc_id) AS gold
+  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
 hit AS (SELECT qid, rank, doc_id, 'src' || doc_id % 20 AS parent FROM sparse),
 ranked AS (SELECT g.qid, qtype, coalesce(min(rank) FILTER (doc_id = gold), CASE WHEN qtype = 'text' THEN min(rank) FILTER (parent = 'src' || gold % 20) END) AS rank FROM gold g LEFT JOIN hit USING (qid) GROUP BY g.qid, qtype)"""
 

@@ -15,12 +15,16 @@ from ..schemas import CATEGORY_NAMES
 
 @dataclass(frozen=True)
 class Stores:
-    """Text index, image index, and the graph's nodes and edges; the last three may be missing."""
+    """Text index, image index, and the graph's nodes and edges; the last three may be missing.
+
+    ``implied`` says that co-occurrence counts as an edge though the table doesn't list it.
+    """
 
     text: DataFrame
     image: DataFrame | None = None
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
+    implied: bool = False
 
 
 class Retriever:
@@ -42,7 +46,7 @@ class Retriever:
     def graph_channel(self, queries: DataFrame) -> DataFrame:
         cfg = self.config.retrieval
         linked = graph.link_entities(graph.anchor_index(self.stores.nodes, self.stores.edges), queries)
-        reached = graph.reached_entities(self.stores.nodes, self.stores.edges, linked, cfg.graph_hops)
+        reached = graph.reached_entities(self.stores.nodes, self.stores.edges, linked, cfg.graph_hops, self.stores.implied)
         ranked = graph.ranked_chunks(self.stores.edges, reached).filter(F.col("rank") <= cfg.candidate_k)
         stored = ranked.join(self.stores.text.select("chunk_id"), "chunk_id", "left_semi")
         return stored.select("qid", F.col("chunk_id").alias("item"), "rank", F.lit(0.0).alias("score"), F.lit("graph").alias("source"))
@@ -78,12 +82,10 @@ class Retriever:
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """(qid, position, item, score, source, payload…) for ``queries`` (qid, question): the top_k of each."""
         cfg = self.config.retrieval
-        hits = self.channels(queries)
-        fused = fusion.fuse(hits, cfg.rrf_k)
-        sources = hits.groupBy("qid", "item").agg(F.min_by("source", F.struct("channel", "rank")).alias("source"))
+        fused = fusion.fuse(self.channels(queries), cfg.rrf_k)
         if not cfg.use_rerank:
             fused = fusion.cut(fused, cfg.top_k)
-        items = fused.join(sources, ["qid", "item"]).join(self.payload(), "item")
+        items = fused.join(self.payload(), "item")
         if cfg.use_rerank:
             scores = items.join(queries, "qid").select("qid", "item", self.providers.rerank(F.col("question"), F.col("text")).alias("rerank"))
             items = fusion.cut(fusion.rerank(items, scores), cfg.top_k)

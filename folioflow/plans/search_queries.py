@@ -138,8 +138,9 @@ def stores(spark: SparkSession, d: str) -> Stores:
     chunks = text.select("chunk_id", F.col("source").alias("doc_id"), (F.col("doc_id") % 50).cast("int").alias("page_index"), F.col("doc_id").alias("ord"))
     words = F.filter(space_words(F.col("text")), lambda w: F.char_length(w) >= 7)
     mentions = text.select("chunk_id", F.lit(0).alias("window"), F.posexplode(words).alias("pos", "text"), F.lit("method").alias("label"), F.lit(1.0).alias("score"))
-    nodes, edges = graph.build(chunks, graph.distinct_mentions(mentions), None, Config().kg.cooccurrence)
-    return Stores(index, image, nodes.persist(), edges.persist())
+    nodes, edges = graph.build(chunks, graph.distinct_mentions(mentions), None, False)
+    # Whole texts hold thousands of entities, too many to list their pairs.
+    return Stores(index, image, nodes.persist(), edges.persist(), implied=Config().kg.cooccurrence)
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -178,11 +179,12 @@ def retriever_sql(flags: dict) -> str:
     parts = [f"SELECT qid, item, rank, 0 AS channel FROM {text}"]
     if flags.get("use_graph"):
         ctes += [
-            f"m AS (SELECT DISTINCT 'D' || doc_id AS item, lower(w) AS name FROM (SELECT doc_id, unnest(list_slice(list_filter({blanked.format('text')}, lambda x: length(x) >= 7), 1, 12)) AS w FROM documents))",
+            f"m AS (SELECT DISTINCT 'D' || doc_id AS item, lower(w) AS name FROM (SELECT doc_id, unnest(list_filter({blanked.format('text')}, lambda x: length(x) >= 7)) AS w FROM documents))",
             "anchor AS (SELECT name, count(*) AS freq FROM m GROUP BY name HAVING count(*) <= 40)",
             """linked AS (SELECT qid, name, freq FROM (SELECT qid, name, freq, row_number() OVER (PARTITION BY qid ORDER BY freq, name) AS r FROM q, anchor
               WHERE CASE WHEN contains(lower(question), name) THEN regexp_matches(lower(question), '(^|[^\\p{L}\\p{N}_])' || regexp_escape(name) || '($|[^\\p{L}\\p{N}_])') ELSE false END) WHERE r <= 8)""",
-            """hop AS (SELECT qid, name, min(dist) AS dist FROM (SELECT qid, name, 0 AS dist FROM linked) GROUP BY ALL)""",
+            """hop AS (SELECT qid, name, min(dist) AS dist FROM (SELECT qid, name, 0 AS dist FROM linked UNION ALL
+              SELECT DISTINCT l.qid, y.name, 1 FROM linked l JOIN m x ON x.name = l.name JOIN m y ON y.item = x.item) GROUP BY ALL)""",
             """kg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS rank FROM
               (SELECT qid, item, round(sum(1.0::DOUBLE / (dist + 1)), 12) AS score FROM hop JOIN m USING (name) GROUP BY ALL)) WHERE rank <= 30)""",
         ]
@@ -216,7 +218,6 @@ def retrieved(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _register(name: str) -> None:
-    # The SQL still has the first 12 long words of a text and no co-occurrence (see REPLY_r01.md).
     query(retriever_sql(VARIANTS[name]), f"fused_topk_{name}")(lambda spark, d: retrieved(spark, d, name))
 
 

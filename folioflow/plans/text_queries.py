@@ -9,10 +9,9 @@ from ..functions import text as tx
 from ..operators import answering, layout, qa
 from .registry import query, table
 
-#: Replies as a model might give them, made of the documents' own words: whole texts, the mark between their
-#: halves. The SQL here and at question_cleanup still has prefixes (see REPLY_r01.md).
-REPLY_SQL = """reply AS (SELECT doc_id, 'Reasoning: ' || substr(text, 1, 60) || CASE WHEN doc_id % 3 = 0 THEN ' ANSWER: draft [S9] ' ELSE '' END ||
-  CASE WHEN doc_id % 5 = 0 THEN '' ELSE chr(10) || 'Answer: ' END || substr(text, 61, 50) || ' [S' || (1 + doc_id % 3) || '] [S1] [S1, S2]' AS content FROM documents)"""
+#: Replies as a model might give them, made of the documents' own words: whole texts, the mark between their halves.
+REPLY_SQL = """reply AS (SELECT doc_id, 'Reasoning: ' || substr(text, 1, length(text) // 2) || CASE WHEN doc_id % 3 = 0 THEN ' ANSWER: draft [S9] ' ELSE '' END ||
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE chr(10) || 'Answer: ' END || substr(text, length(text) // 2 + 1) || ' [S' || (1 + doc_id % 3) || '] [S1] [S1, S2]' AS content FROM documents)"""
 
 
 def replies(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +61,7 @@ def triples_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "pos", "t.*")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(chr(10) || ' "' || substr(text, 1, 40) || '?"' || chr(9), '^\\s+|\\s+$', '', 'g'), '"') AS question, contains(lower(text), lower(substr(text, 3, 5))) AS names_it FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(chr(10) || ' "' || text || '?"' || chr(9), '^\\s+|\\s+$', '', 'g'), '"') AS question, contains(lower(text), lower(substr(text, 3, 5))) AS names_it FROM documents""")
 def question_cleanup(spark: SparkSession, d: str) -> DataFrame:
     reply = F.concat(F.lit('\n "'), F.col("text"), F.lit('?"\t'))
     return table(spark, d, "documents").select("doc_id", tx.clean_question(reply).alias("question"), tx.mentions(F.col("text"), F.substring("text", 3, 5)).alias("names_it"))
