@@ -34,8 +34,7 @@ def tables(spark: SparkSession, d: str, relations: bool = True) -> tuple[DataFra
     mention = c.select("chunk_id", F.posexplode(F.array(F.struct(F.col("part").alias("text"), F.lit("part").alias("label")), F.struct(F.col("supplier").alias("text"), F.lit("supplier").alias("label")))).alias("pos", "e"))
     mention = mention.select("chunk_id", "pos", "e.text", "e.label", F.lit(1.0).alias("score"))
     triples = c.select("chunk_id", F.lit(0).alias("pos"), F.col("part").alias("subject"), "relation", F.col("supplier").alias("object")) if relations else None
-    nodes, edges = graph.build(c.select("chunk_id", "doc_id", "page_index", "ord"), mention, triples)
-    return nodes.persist(), edges.persist()  # the graph is read several times, as a stored one would be
+    return graph.build(c.select("chunk_id", "doc_id", "page_index", "ord"), mention, triples)
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
