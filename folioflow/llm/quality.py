@@ -12,6 +12,7 @@ nothing is shuffled but the pattern counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,14 @@ class Model:
     on_bad: tuple[float, ...]
 
 
-START = Model(0.85, (0.98,) * len(RULES), (0.3,) * len(RULES))
-#: Bounds of a rule's accuracy on good and on bad documents.
-ON_GOOD, ON_BAD = (0.95, 0.995), (0.1, 0.98)
+#: Where the iteration starts from: several shares of good documents, with the rules' expected accuracies.
+STARTS = (0.97, 0.85, 0.5)
+#: What is expected of a rule before any document is seen: to be right on a good one, and on a bad one. The
+#: rules look for different faults, so a bad document fails few of them while a good one should fail none.
+EXPECTED = (0.98, 0.3)
+#: Weight of the expectation beside the documents: as much as all of a class's votes. It is a share, so that
+#: estimates are alike at every size.
+WEIGHT = 1.0
 
 
 def _words(text: Column) -> Column:
@@ -134,51 +140,97 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return df.select(*keep, *counts, *votes)
 
 
-def _log_odds(model: Model) -> Column:
-    total = F.lit(math.log(model.prior / (1 - model.prior)))
-    for (name, *_), good, bad in zip(RULES, model.on_good, model.on_bad, strict=True):
-        vote = F.col(f"vote_{name}")
-        total = total + F.when(vote == 1, math.log(good / (1 - bad))).when(vote == 0, math.log((1 - good) / bad)).otherwise(0.0)
-    return total
+def start(prior: float) -> Model:
+    return Model(prior, (EXPECTED[0],) * len(RULES), (EXPECTED[1],) * len(RULES))
+
+
+def _logs(model: Model) -> list[float]:
+    """Logarithms of the probabilities of being good, of being bad, and of each rule's votes given either."""
+    out = [math.log(model.prior), math.log(1 - model.prior)]
+    for g, b in zip(model.on_good, model.on_bad, strict=True):
+        out += [math.log(g), math.log(1 - g), math.log(1 - b), math.log(b)]
+    return out
+
+
+def _log_joint(logs: Callable[[int], Column]) -> tuple[Column, Column]:
+    """Log-probabilities of being good, and bad, and voting so; ``logs`` gives the numbers of ``_logs``."""
+    good, bad = logs(0), logs(1)
+    for i, (name, *_) in enumerate(RULES):
+        vote, at = F.col(f"vote_{name}"), 2 + 4 * i
+        good = good + F.when(vote == 1, logs(at)).when(vote == 0, logs(at + 1)).otherwise(0.0)
+        bad = bad + F.when(vote == 1, logs(at + 2)).when(vote == 0, logs(at + 3)).otherwise(0.0)
+    return good, bad
 
 
 def posterior(model: Model) -> Column:
     """Probability that the document is good, given its votes."""
-    return 1 / (1 + F.exp(-_log_odds(model)))
+    values = _logs(model)
+    good, bad = _log_joint(lambda i: F.lit(values[i]))
+    return 1 / (1 + F.exp(bad - good))
+
+
+def _sums(k: int) -> list[Column]:
+    """Expected numbers of good and bad documents and of their votes, and the log-likelihood, under the k-th model."""
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0.0)).alias(f"m{k}_{name}")
+    g, b = F.col(f"g{k}"), F.col("n") - F.col(f"g{k}")
+    out = [total(g, "good"), total(b, "bad"), total(F.col(f"l{k}"), "fit")]
+    for i, (name, *_) in enumerate(RULES):
+        for vote in (0, 1):
+            said = F.col(f"vote_{name}") == vote
+            out += [total(F.when(said, g), f"g{vote}_{i}"), total(F.when(said, b), f"b{vote}_{i}")]
+    return out
+
+
+def _expected(patterns: DataFrame, models: list[Model]) -> dict:
+    """One step's sums under all models. The numbers are reached by a place that the planner doesn't know, so that
+    each step is the same code, compiled once."""
+    size = len(_logs(models[0]))
+    table = F.lit([x for m in models for x in _logs(m)])
+    for k in range(len(models)):
+        good, bad = _log_joint(lambda i, k=k: F.get(table, F.col("zero") + k * size + i))
+        patterns = patterns.withColumn(f"a{k}", good).withColumn(f"b{k}", bad)
+    share = lambda k: F.col("n") / (1 + F.exp(F.col(f"b{k}") - F.col(f"a{k}")))
+    most = lambda k: F.col("n") * (F.greatest(f"a{k}", f"b{k}") + F.log1p(F.exp(-F.abs(F.col(f"a{k}") - F.col(f"b{k}")))))
+    each = patterns.select("*", *[share(k).alias(f"g{k}") for k in range(len(models))], *[most(k).alias(f"l{k}") for k in range(len(models))])
+    return each.agg(*[c for k in range(len(models)) for c in _sums(k)]).first().asDict()
+
+
+def _next(row: dict, mark: str) -> Model:
+    good, bad = row[f"{mark}good"], row[f"{mark}bad"]
+
+    def rate(right: float, wrong: float, expected: float) -> float:
+        weight = WEIGHT * (right + wrong) + 1
+        return (right + weight * expected) / (right + wrong + weight)
+
+    return Model(
+        (good + 1) / (good + bad + 2),
+        tuple(rate(row[f"{mark}g1_{i}"], row[f"{mark}g0_{i}"], EXPECTED[0]) for i in range(len(RULES))),
+        tuple(rate(row[f"{mark}b0_{i}"], row[f"{mark}b1_{i}"], EXPECTED[1]) for i in range(len(RULES))),
+    )
 
 
 def fit(voted: DataFrame, steps: int = 20, tolerance: float = 1e-3) -> Model:
-    """Expectation-maximisation over the vote patterns of all documents.
+    """Expectation-maximisation over the vote patterns of all documents, from several starts.
 
-    The rules look for different faults, so a bad document fails few of them while a good one should
-    fail none. The start says so (``START``), and the estimates stay within ``ON_GOOD`` and
-    ``ON_BAD``; without these bounds two rules that fire together would become the hidden class. Each
-    estimate is smoothed by one right and one wrong vote; an empty table leaves the start as it is.
+    Each rule's accuracies are the mean of what its votes show and what is expected of it (``EXPECTED``,
+    ``WEIGHT``). Without an expectation two rules that fire together would become the hidden class, and
+    other faults would count as good. The most likely of the models stays; an empty table leaves the middle
+    start.
     """
     names = [f"vote_{r[0]}" for r in RULES]
-    patterns = cut(voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).coalesce(1))
-    model = START
+    patterns = cut(voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).coalesce(1).withColumn("zero", F.lit(0)))
+    models = [start(p) for p in STARTS]
+    likely = [0.0] * len(models)
     for _ in range(steps):
-        good = F.col("n") * posterior(model)
-        bad = F.col("n") - good
-        sums = [F.sum(good).alias("good"), F.sum(bad).alias("bad")]
-        for i, name in enumerate(names):
-            for side, weight in (("g", good), ("b", bad)):
-                for vote in (0, 1):
-                    sums.append(F.coalesce(F.sum(F.when(F.col(name) == vote, weight)), F.lit(0.0)).alias(f"{side}{vote}_{i}"))
-        row = patterns.agg(*sums).first()
-        if row["good"] is None:
-            break
-        rate = lambda right, wrong, bounds: min(max((right + 1) / (right + wrong + 2), bounds[0]), bounds[1])
-        last, model = model, Model(
-            min(max(row["good"] / (row["good"] + row["bad"]), 0.05), 0.95),
-            tuple(rate(row[f"g1_{i}"], row[f"g0_{i}"], ON_GOOD) for i in range(len(names))),
-            tuple(rate(row[f"b0_{i}"], row[f"b1_{i}"], ON_BAD) for i in range(len(names))),
-        )
-        moved = zip((last.prior, *last.on_good, *last.on_bad), (model.prior, *model.on_good, *model.on_bad), strict=True)
-        if max(abs(a - b) for a, b in moved) < tolerance:
+        row = _expected(patterns, models)
+        if not row["m0_good"] + row["m0_bad"]:
+            return start(STARTS[1])
+        last, models = models, [_next(row, f"m{k}_") for k in range(len(models))]
+        likely = [row[f"m{k}_fit"] for k in range(len(models))]
+        moved = [abs(a - b) for x, y in zip(last, models, strict=True) for a, b in zip((x.prior, *x.on_good, *x.on_bad), (y.prior, *y.on_good, *y.on_bad), strict=True)]
+        if max(moved) < tolerance:
             break
-    return model
+    return models[max(range(len(models)), key=lambda k: round(likely[k], 6))]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

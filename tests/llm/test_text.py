@@ -202,3 +202,47 @@ def test_chat(spark):
     assert {k: r["status"] for k, r in out.items()} == {1: "snapshot", 2: "kept", 3: "copy", 4: "snapshot", 5: "kept", 6: "kept", 7: "copy", None: "kept"}
     assert out[2]["rendered"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n" and out[1]["rendered"] is None and out[2]["n_turns"] == 3
     assert chat.collapse(df.limit(0)).count() == 0
+
+
+def test_quality_model_against_plain_iteration(spark):
+    """The fitted model equals a loop over the documents, and what the votes show decides, whatever the table's size."""
+    r = np.random.default_rng(12)
+    names = [f"vote_{x[0]}" for x in quality.RULES]
+    n, k = 4000, len(names)
+    bad = r.random(n) < 0.2
+    right = np.where(bad[:, None], r.choice([0.9, 0.8, 0.1, 0.02], k)[None, :], 0.97)
+    votes = np.where(r.random((n, k)) < right, ~bad[:, None], bad[:, None]).astype(float)
+    votes[r.random((n, k)) < 0.15] = np.nan
+
+    def iterate(v, prior, steps=20):
+        m = [prior, np.full(k, 0.98), np.full(k, 0.3)]
+        for _ in range(steps):
+            p, q = np.log(m[0]), np.log(1 - m[0])
+            lg = p + np.where(v == 1, np.log(m[1]), np.where(v == 0, np.log(1 - m[1]), 0)).sum(1)
+            lb = q + np.where(v == 1, np.log(1 - m[2]), np.where(v == 0, np.log(m[2]), 0)).sum(1)
+            g = 1 / (1 + np.exp(lb - lg))
+            fit = np.logaddexp(lg, lb).sum()
+            rate = lambda yes, no, e: (yes + (yes + no + 1) * e) / (2 * (yes + no) + 1)
+            new = [
+                (g.sum() + 1) / (len(v) + 2),
+                rate((g[:, None] * (v == 1)).sum(0), (g[:, None] * (v == 0)).sum(0), 0.98),
+                rate(((1 - g)[:, None] * (v == 0)).sum(0), ((1 - g)[:, None] * (v == 1)).sum(0), 0.3),
+            ]
+            moved = max(abs(new[0] - m[0]), np.abs(new[1] - m[1]).max(), np.abs(new[2] - m[2]).max())
+            m = new
+            if moved < 1e-9:
+                break
+        return fit, m
+
+    rows = [tuple(None if np.isnan(x) else int(x) for x in v) for v in votes]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names)).repartition(4)
+    model = quality.fit(df, tolerance=1e-9)
+    _, want = max((iterate(votes, p) for p in quality.STARTS), key=lambda x: round(x[0], 6))
+    assert abs(model.prior - want[0]) < 1e-6 and np.allclose(model.on_good, want[1], atol=1e-6) and np.allclose(model.on_bad, want[2], atol=1e-6)
+    assert np.std(model.on_bad) > 0.1  # rules that see more weigh more
+    again = quality.fit(df.unionByName(df).unionByName(df), tolerance=1e-9)
+    assert abs(again.prior - model.prior) < 0.002 and np.allclose(again.on_bad, model.on_bad, atol=0.01)
+    judged = df.withColumn("p", quality.posterior(model)).collect()
+    truth = dict(zip(rows, bad, strict=True))
+    assert np.mean([(x["p"] < 0.5) == truth[tuple(x)[:-1]] for x in judged]) > 0.9
+    assert quality.fit(df.limit(0)) == quality.start(quality.STARTS[1])
