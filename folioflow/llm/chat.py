@@ -39,8 +39,9 @@ def collapse(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     status is ``kept``, ``snapshot`` (a proper prefix of another conversation) or ``copy`` (equal to one
     with a smaller id); rendered is null unless kept. Turns are ordered by number, then role, then text;
     null roles count as ``user``, null texts as empty, null turn numbers come first, and exactly repeated
-    rows count once. Rows with a null conversation id form one conversation. Other columns are not read,
-    and an empty table gives no rows.
+    rows count once. A row with a null conversation id is a conversation of one turn, so that strangers
+    aren't mixed and none of them gathers all such rows; null loses against any id. Other columns are not
+    read, and an empty table gives no rows.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv"),
@@ -48,23 +49,25 @@ def collapse(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.coalesce(F.col(role_col), F.lit("user")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    gathered = rows.groupBy("conv").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    hashed = gathered.select("conv", F.size("turns").alias("n"), _chain(F.col("turns")).alias("prefixes"))
+    alone = F.when(F.col("conv").isNull(), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256))
+    rows = rows.select(F.struct("conv", alone.alias("alone")).alias("unit"), "turn", "role", "text")
+    gathered = rows.groupBy("unit").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    hashed = gathered.select("unit", F.size("turns").alias("n"), _chain(F.col("turns")).alias("prefixes"))
     hashed = cut(hashed)
-    whole = hashed.select("conv", "n", F.element_at("prefixes", -1).alias("hash"))
-    classes = whole.groupBy("hash").agg(F.min(F.struct(F.col("conv").isNull().alias("void"), "conv")).alias("first"))
-    classes = cut(classes.select("hash", F.col("first.conv").alias("first")))
+    whole = hashed.select("unit", "n", F.element_at("prefixes", -1).alias("hash"))
+    classes = whole.groupBy("hash").agg(F.min(F.struct(F.col("unit.conv").isNull().alias("void"), "unit")).alias("first"))
+    classes = cut(classes.select("hash", F.col("first.unit").alias("first")))
     proper = hashed.filter("n > 1").select(F.explode(F.slice("prefixes", 1, F.col("n") - 1)).alias("hash")).distinct()
     maximal = classes.join(proper, "hash", "left_anti").select("hash", F.lit(True).alias("maximal"))
     state = whole.join(classes, "hash").join(cut(maximal), "hash", "left")
-    status = F.when(F.col("maximal").isNull(), "snapshot").when(F.col("conv").eqNullSafe(F.col("first")), "kept").otherwise("copy")
-    state = state.select("conv", "n", "hash", status.alias("status"))
+    status = F.when(F.col("maximal").isNull(), "snapshot").when(F.col("unit") == F.col("first"), "kept").otherwise("copy")
+    state = state.select("unit", "n", "hash", status.alias("status"))
     # Only kept conversations are gathered again, with their texts.
-    kept = state.filter("status = 'kept'").select("conv")
-    texts = rows.join(kept, rows["conv"].eqNullSafe(kept["conv"]), "left_semi")
-    texts = texts.groupBy("conv").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    texts = texts.select(F.col("conv").alias("k"), F.array_join(F.transform("turns", lambda t: _turn_text(t["role"], t["text"])), "").alias("rendered"))
-    out = state.join(texts, state["conv"].eqNullSafe(texts["k"]), "left")
+    kept = state.filter("status = 'kept'").select("unit")
+    texts = rows.join(kept, "unit", "left_semi")
+    texts = texts.groupBy("unit").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    texts = texts.select("unit", F.array_join(F.transform("turns", lambda t: _turn_text(t["role"], t["text"])), "").alias("rendered"))
+    out = state.join(texts, "unit", "left")
     return out.select(
-        F.col("conv").alias(conv_col), F.col("n").cast("long").alias("n_turns"), F.col("hash").alias("prefix_hash"), "status", (F.col("status") == "kept").alias("kept"), "rendered"
+        F.col("unit.conv").alias(conv_col), F.col("n").cast("long").alias("n_turns"), F.col("hash").alias("prefix_hash"), "status", (F.col("status") == "kept").alias("kept"), "rendered"
     )

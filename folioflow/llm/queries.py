@@ -88,10 +88,10 @@ FROM k WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id)
 
 OP2_SQL = """
 WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns FROM r GROUP BY conv_id),
+c AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns FROM r GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN struct_pack(u := turn, r := role, t := text) END),
 h AS (SELECT conv_id, turns, len(turns) AS n, md5(turns::VARCHAR) AS whole FROM c),
 p AS (SELECT DISTINCT md5(list_slice(turns, 1, i)::VARCHAR) AS pre FROM (SELECT turns, unnest(range(1, n)) AS i FROM h)),
-s AS (SELECT *, CASE WHEN whole IN (SELECT pre FROM p) THEN 'snapshot' WHEN conv_id = min(conv_id) OVER (PARTITION BY whole) THEN 'kept' ELSE 'copy' END AS status FROM h)
+s AS (SELECT *, CASE WHEN whole IN (SELECT pre FROM p) THEN 'snapshot' WHEN row_number() OVER (PARTITION BY whole ORDER BY conv_id NULLS LAST) = 1 THEN 'kept' ELSE 'copy' END AS status FROM h)
 SELECT conv_id, n AS n_turns, status, status = 'kept' AS kept, CASE WHEN status = 'kept' THEN
   array_to_string(list_transform(turns, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') END AS rendered FROM s
 """

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, chat, language_id, packing, quality, secrets
+from folioflow.llm import bpe, chat, language_id, packing, quality, queries, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -246,3 +246,20 @@ def test_quality_model_against_plain_iteration(spark):
     truth = dict(zip(rows, bad, strict=True))
     assert np.mean([(x["p"] < 0.5) == truth[tuple(x)[:-1]] for x in judged]) > 0.9
     assert quality.fit(df.limit(0)) == quality.start(quality.STARTS[1])
+
+
+def test_chat_of_rows_without_conversation(spark, tmp_path):
+    """Rows without an id are conversations of one turn; a long conversation is gathered whole."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None, 1, "user", "hello"), (None, 1, "user", "hello"), (None, 2, "user", "hello"), (None, 1, None, "other"), (None, None, "user", None), (3, 1, "user", "other"), (3, 2, "user", "more")]
+    rows += [(5, k, "user", f"turn {k}") for k in range(3000)] + [(6, k, "user", f"turn {k}") for k in range(2999)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = sorted(queries.op2_chat_format(spark, str(tmp_path)).collect(), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = con.execute(queries.OP2_SQL)
+    order = [c[0] for c in cursor.description]
+    assert sorted(map(repr, (tuple(r[c] for c in order) for r in out))) == sorted(map(repr, cursor.fetchall()))
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["status"]) for r in out) == [
+        (0, 1, "copy"), (0, 1, "kept"), (0, 1, "kept"), (0, 1, "snapshot"), (3, 2, "kept"), (5, 3000, "kept"), (6, 2999, "snapshot"),
+    ]
