@@ -6,14 +6,13 @@ folder and read again. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import exact_dedup, near_dedup, packing, quality, secrets
-from folioflow.llm.workspace import ensure_checkpoint_dir
+from folioflow.llm.workspace import drop_folder, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}"
+    """Apply the stages to documents. A stage's table is deleted once the next one's is written."""
+    df, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        path = shared_folder(spark, "pipeline")
         stage(spark, df, sf_dir).write.parquet(path)
         df = spark.read.parquet(path)
+        if last:
+            drop_folder(spark, last)
+        last = path
     return df
