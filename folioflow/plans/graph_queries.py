@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .registry import query, table
+from .storage import stored
 
 ITEM_SQL = """item AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ord FROM lineitem),
 chunk AS (SELECT 'C' || ord AS chunk_id, 'O' || l_orderkey AS doc_id, l_linenumber::BIGINT AS page_index, ord, 'entity::part::part ' || l_partkey AS part, 'entity::supplier::supplier ' || l_suppkey AS supplier,
@@ -37,6 +38,12 @@ def tables(spark: SparkSession, d: str, relations: bool = True) -> tuple[DataFra
     return graph.build(c.select("chunk_id", "doc_id", "page_index", "ord"), mention, triples)
 
 
+def stored_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph written once, for queries that read it several times; folders by kind."""
+    nodes, edges = tables(spark, d)
+    return stored(nodes, "ntype"), stored(edges, "key")
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """A question of every customer whose key is divisible by 20; part numbers go round the whole part table."""
     k, n = F.col("c_custkey"), F.col("n_parts")
@@ -107,8 +114,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
 
 
 def expanded(spark: SparkSession, d: str, hops: int) -> DataFrame:
-    nodes, edges = tables(spark, d)
-    linked = graph.link_entities(graph.anchor_index(nodes, edges), asked(spark, d))
+    nodes, edges = stored_tables(spark, d)
+    linked = stored(graph.link_entities(graph.anchor_index(nodes, edges), asked(spark, d)))
     return graph.ranked_chunks(edges, graph.reached_entities(nodes, edges, linked, hops)).filter("rank <= 30")
 
 
@@ -133,7 +140,7 @@ def graph_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {ITEM_SQL}, hop AS (SELECT DISTINCT qid, entity FROM (SELECT qid, entity FROM linked UNION ALL SELECT l.qid, c.supplier FROM linked l JOIN chunk c ON c.part = l.entity))
 SELECT qid, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM hop JOIN mention USING (entity) GROUP BY qid""")
 def graph_documents(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables(spark, d)
+    nodes, edges = stored_tables(spark, d)
     found = graph.expand(nodes, edges, asked(spark, d))
     return found.select("qid", F.size("doc_ids").alias("n_docs"), F.element_at("doc_ids", 1).alias("first_doc"))
 
@@ -159,5 +166,5 @@ def graph_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {ITEM_SQL}, near AS (SELECT 'entity::part::part 3' AS id UNION SELECT supplier FROM chunk WHERE part = 'entity::part::part 3' UNION SELECT chunk_id FROM chunk WHERE part = 'entity::part::part 3')
 SELECT c.chunk_id AS src, e.entity AS dst FROM mention e JOIN chunk c USING (chunk_id) WHERE c.chunk_id IN (SELECT id FROM near) AND e.entity IN (SELECT id FROM near)""")
 def ego_mentions(spark: SparkSession, d: str) -> DataFrame:
-    _, edges = graph.ego(*tables(spark, d), ["part 3"], 1)
+    _, edges = graph.ego(*stored_tables(spark, d), ["part 3"], 1)
     return edges.filter("key = 'MENTIONS'").select("src", "dst")

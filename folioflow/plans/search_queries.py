@@ -10,6 +10,7 @@ from ..models import Providers, stand_ins
 from ..operators import fusion, graph, search
 from .registry import query, table
 from .retrieval import Retriever, Stores
+from .storage import stored
 
 
 def collection(spark: SparkSession, d: str, parity: int) -> DataFrame:
@@ -125,7 +126,8 @@ def countable() -> Providers:
     return Providers(**(fields | {"embed_text": letter_counts, "embed_sparse": pair_counts, "embed_image": letter_counts, "embed_image_query": letter_counts, "rerank": shared_words}))
 
 
-def stores(spark: SparkSession, d: str) -> Stores:
+def stores(spark: SparkSession, d: str, linked: bool = True) -> Stores:
+    """Both indexes and, if ``linked``, the graph, written once for the channels that read it."""
     docs = table(spark, d, "documents")
     chunk_id = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
     text = docs.select(chunk_id.alias("chunk_id"), "source", "text", "lang", "doc_id")
@@ -135,12 +137,14 @@ def stores(spark: SparkSession, d: str) -> Stores:
         F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("region_id"), F.lit("pages").alias("doc_id"), F.col("page_id").cast("int").alias("page_index"), F.lit(5).alias("category"),
         F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("").alias("caption"), F.lit("").alias("crop_path"), letter_counts(F.col("html")).alias("image"),
     )
+    if not linked:
+        return Stores(index, image, None, None)
     chunks = text.select("chunk_id", F.col("source").alias("doc_id"), (F.col("doc_id") % 50).cast("int").alias("page_index"), F.col("doc_id").alias("ord"))
     words = F.filter(space_words(F.col("text")), lambda w: F.char_length(w) >= 7)
     mentions = text.select("chunk_id", F.lit(0).alias("window"), F.posexplode(words).alias("pos", "text"), F.lit("method").alias("label"), F.lit(1.0).alias("score"))
     nodes, edges = graph.build(chunks, graph.distinct_mentions(mentions), None, False)
     # Whole texts hold thousands of entities, too many to list their pairs.
-    return Stores(index, image, nodes.persist(), edges.persist(), implied=Config().kg.cooccurrence)
+    return Stores(index, image, stored(nodes, "ntype"), stored(edges, "key"), implied=Config().kg.cooccurrence)
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +217,8 @@ def retriever_sql(flags: dict) -> str:
 
 
 def retrieved(spark: SparkSession, d: str, name: str) -> DataFrame:
-    found = Retriever(variant(Config(), name), stores(spark, d), countable()).retrieve(questions(spark, d))
+    config = variant(Config(), name)
+    found = Retriever(config, stores(spark, d, config.retrieval.use_graph), countable()).retrieve(questions(spark, d))
     return found.select("qid", "item", "score", "position")
 
 
