@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import bpe, chat, clustering, exact_dedup, language_id, near_dedup, packing, quality, resampling, secrets, substring_dedup, suffix_dedup, token_files
+from .workspace import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +75,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path, _vocabulary())
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_packing, op4_bpe_round_trip, op5_language_id, op6_minhash_near_dedup, op7_quality_rules, op8_paragraph_dedup, op9_secret_scan, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_packing, op4_bpe_round_trip, op5_language_id, op6_minhash_near_dedup, op7_quality_rules, op8_paragraph_dedup, op9_secret_scan, op10_suffix_dedup, op11_importance_resampling, op12_token_files, op13_centroid_clustering)}
 
 
 OP1_SQL = r"""
@@ -109,5 +124,45 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 """
 
 
+#: The checksum's table of 256 entries comes from its polynomial (3988292384).
+OP11_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+text AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM text),
+each AS (SELECT side, id, unnest(w) AS w FROM words),
+coded AS (SELECT w, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS c FROM (SELECT DISTINCT w FROM each), crc),
+bucket AS (SELECT w, xor(c, 4294967295) % 10000 AS b FROM coded),
+counts AS (SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM each JOIN bucket USING (w) GROUP BY b),
+total AS (SELECT sum(s)::BIGINT AS ss, sum(t)::BIGINT AS tt FROM counts),
+gain AS (SELECT b, floor(1000 * ln(((t + 1) * (ss + 10000))::DOUBLE / ((s + 1) * (tt + 10000))::DOUBLE))::BIGINT AS g FROM counts, total),
+weighed AS (SELECT id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM each JOIN bucket USING (w) JOIN gain USING (b) WHERE side = 's' GROUP BY id),
+luck AS (SELECT doc_id, floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS h FROM documents),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + h AS score FROM luck LEFT JOIN weighed ON id = doc_id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """Full searches, round by round, without bounds."""
+    near = "SELECT vec_id, v, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, {}) GROUP BY vec_id, v"
+    steps = [
+        "raw AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "kept AS MATERIALIZED (SELECT vec_id, v FROM raw)",
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS m FROM kept ORDER BY sha256('3:' || vec_id) LIMIT {k})",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({near.format(f'm{i}')})",
+            f"u{i} AS (SELECT c, list(x ORDER BY j) AS m FROM (SELECT c, j, (sum(x) // count(*) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS x FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j) GROUP BY c)",
+            f"m{i + 1} AS MATERIALIZED (SELECT m{i}.c, coalesce(u{i}.m, m{i}.m) AS m FROM m{i} LEFT JOIN u{i} ON m{i}.c = u{i}.c)",
+        ]
+    steps.append(f"z AS ({near.format(f'm{rounds}')})")
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, z.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY z.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(m, ',')) AS centroid_sha256 FROM z JOIN m{rounds} ON z.c = m{rounds}.c"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_suffix_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_centroid_clustering": _op13_sql()}
