@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
 from ..config import Config
 from ..functions import text as tx
+from . import shards
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -80,54 +77,6 @@ def coco_pages(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     )
 
 
-class ShardReader(DataSourceReader):
-    """One partition per tar shard; samples are the members that share a name up to the first dot."""
-
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            yield from tar_samples(f)
-
-
-class ShardSource(DataSource):
-    """``spark.read.format("page_shards").option("paths", "a.tar,b.tar")``: key, image, meta of whole samples."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "page_shards"
-
-    def schema(self) -> str:
-        return "key string, image binary, meta string"
-
-    def reader(self, schema) -> ShardReader:
-        return ShardReader([p for p in self.options["paths"].split(",") if p])
-
-
-def tar_samples(stream) -> Iterator[tuple]:
-    """(key, image, meta) of samples that have both a picture and their JSON; others are skipped."""
-    parts: dict[str, bytes] = {}
-    current = None
-    with tarfile.open(fileobj=stream, mode="r|*") as tar:
-        for member in tar:
-            if not member.isfile():
-                continue
-            folder, _, base = member.name.rpartition("/")
-            stem, _, kind = base.partition(".")
-            key = f"{folder}/{stem}" if folder else stem
-            if key != current:
-                if current is not None and {"png", "json"} <= parts.keys():
-                    yield current, parts["png"], parts["json"].decode("utf-8", "replace")
-                current, parts = key, {}
-            parts[kind] = tar.extractfile(member).read()
-    if current is not None and {"png", "json"} <= parts.keys():
-        yield current, parts["png"], parts["json"].decode("utf-8", "replace")
-
-
 def png_size(image: bytes | None) -> tuple[int | None, int | None]:
     """Width and height from a PNG's header."""
     if image is None or image[:8] != b"\x89PNG\r\n\x1a\n" or len(image) < 24:
@@ -156,22 +105,9 @@ def shard_pages(samples: DataFrame, max_pages: int = 0) -> DataFrame:
     return pages.limit(max_pages) if max_pages else pages
 
 
-def read_shards(spark: SparkSession, paths: list[str], max_pages: int = 0, everywhere: bool = False) -> DataFrame:
-    """Pages of tar shards. ``everywhere`` reads them through Spark's own file systems, for remote stores."""
-    if everywhere:
-        files = spark.read.format("binaryFile").load(list(paths)).select("content")
-
-        def split(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                for content in batch.column("content").to_pylist():
-                    for key, image, meta in tar_samples(io.BytesIO(content)):
-                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([image], pa.binary()), pa.array([meta])], ["key", "image", "meta"])
-
-        return shard_pages(files.mapInArrow(split, "key string, image binary, meta string"), max_pages)
-    spark.dataSource.register(ShardSource)
-    return shard_pages(spark.read.format("page_shards").option("paths", ",".join(paths)).load(), max_pages)
+def read_shards(spark: SparkSession, paths: list[str], max_pages: int = 0, everywhere: bool = True) -> DataFrame:
+    """Pages of tar shards, split into byte ranges. All are read through Spark's file systems, with or without ``everywhere``."""
+    return shard_pages(shards.read_samples(spark, paths), max_pages)
 
 
 def pages(spark: SparkSession, config: Config) -> DataFrame:
