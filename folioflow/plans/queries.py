@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, layout_queries, metric_queries, search_queries, text_queries  # noqa: F401  (they register)
+from . import graph_queries, layout_queries, metric_queries, search_queries, stage_queries, text_queries  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import xml.etree.ElementTree as ET
-from xml.sax.saxutils import escape, quoteattr
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 
@@ -24,37 +23,67 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(schemas.NODE).parquet(f"{path}/nodes"), spark.read.schema(schemas.EDGE).parquet(f"{path}/edges")
 
 
+def _lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One element in each row, as text."""
+
+    def escaped(value: Column) -> Column:
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
+            value = F.replace(value, F.lit(mark), F.lit(name))
+        return value
+
+    def data(kind: str, names: tuple[str, ...]) -> list[Column]:
+        one = lambda n: F.concat(F.lit(f'<data key="{kind}_{n}">'), escaped(F.col(n).cast("string")), F.lit("</data>"))
+        return [F.coalesce(one(n), F.lit("")) for n in names]
+
+    attribute = lambda name, column: F.concat(F.lit(f' {name}="'), escaped(F.col(column).cast("string")), F.lit('"'))
+    node = F.concat(F.lit("<node"), attribute("id", "id"), F.lit(">"), *data("node", NODE_KEYS), F.lit("</node>"))
+    edge = F.concat(F.lit("<edge"), attribute("source", "src"), attribute("target", "dst"), attribute("id", "key"), F.lit(">"), *data("edge", EDGE_KEYS), F.lit("</edge>"))
+    return nodes.select(node.alias("value")), edges.select(edge.alias("value"))
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file, streamed row by row through the driver and put in place at the end."""
-    partial = f"{path}.partial"
-    with open(partial, "w", encoding="utf-8") as out:
-        out.write(f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="{NAMESPACE}">\n')
-        for kind, names in (("node", NODE_KEYS), ("edge", EDGE_KEYS)):
-            for n in names:
-                out.write(f'<key id="{kind}_{n}" for="{kind}" attr.name="{n}" attr.type="{"int" if n == "page_index" else "string"}"/>\n')
-        out.write('<graph edgedefault="directed">\n')
-        data = lambda kind, row, names: "".join(f'<data key="{kind}_{n}">{escape(str(row[n]))}</data>' for n in names if row[n] is not None)
-        for row in nodes.toLocalIterator():
-            out.write(f"<node id={quoteattr(row['id'])}>{data('node', row, NODE_KEYS)}</node>\n")
-        for row in edges.toLocalIterator():
-            out.write(f"<edge source={quoteattr(row['src'])} target={quoteattr(row['dst'])} id={quoteattr(row['key'])}>{data('edge', row, EDGE_KEYS)}</edge>\n")
-        out.write("</graph>\n</graphml>\n")
-    os.replace(partial, path)
+    """One GraphML file at ``path``, put in place at the end.
+
+    The executors write the elements as text, in parallel; the parts are then copied one after the other into
+    the file, byte by byte through the file system, so the driver holds no row of them.
+    """
+    spark = nodes.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs, parts = at(path).getFileSystem(conf), f"{path}.parts-{uuid.uuid4().hex}"
+    keys = "".join(f'<key id="{kind}_{n}" for="{kind}" attr.name="{n}" attr.type="{"int" if n == "page_index" else "string"}"/>\n' for kind, names in (("node", NODE_KEYS), ("edge", EDGE_KEYS)) for n in names)
+    try:
+        for name, lines in zip(("nodes", "edges"), _lines(nodes, edges), strict=True):
+            lines.write.text(f"{parts}/{name}")
+        out = fs.create(at(f"{parts}/whole"))
+        out.write(bytearray(f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="{NAMESPACE}">\n{keys}<graph edgedefault="directed">\n'.encode()))
+        for name in ("nodes", "edges"):
+            for file in sorted(s.getPath().toString() for s in fs.listStatus(at(f"{parts}/{name}")) if s.getPath().getName().startswith("part-")):
+                part = fs.open(at(file))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
+        out.write(bytearray(b"</graph>\n</graphml>\n"))
+        out.close()
+        fs.delete(at(path), True)
+        fs.rename(at(f"{parts}/whole"), at(path))
+    finally:
+        fs.delete(at(parts), True)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    tag = lambda n: f"{{{NAMESPACE}}}{n}"
-    names: dict[str, str] = {}
-    nodes, edges = [], []
-    for _, e in ET.iterparse(path):
-        if e.tag == tag("key"):
-            names[e.get("id")] = e.get("attr.name")
-        elif e.tag in (tag("node"), tag("edge")):
-            values = {names[d.get("key")]: d.text or "" for d in e.iter(tag("data"))}
-            if e.tag == tag("node"):
-                page = values.get("page_index")
-                nodes.append((e.get("id"), *[values.get(k) for k in NODE_KEYS[:-1]], int(page) if page else None))
-            else:
-                edges.append((e.get("source"), e.get("target"), e.get("id"), *[values.get(k) for k in EDGE_KEYS]))
-            e.clear()
-    return spark.createDataFrame(nodes, schemas.NODE), spark.createDataFrame(edges, schemas.EDGE)
+    """Nodes and edges of GraphML, read by Spark's XML source; the driver sees the declared keys only.
+
+    Data under keys that aren't declared, or that the graph's tables don't have, are left out.
+    """
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    declared = read("key", "_id string, _for string, `_attr.name` string").select("_id", "_for", F.col("`_attr.name`").alias("name")).collect()
+    data = "data array<struct<_key:string,_VALUE:string>>"
+
+    def value(kind: str, name: str) -> Column:
+        ids = [r["_id"] for r in declared if r["name"] == name and r["_for"] in (kind, "all", None)]
+        found = F.get(F.filter("data", lambda x: x["_key"].isin(ids)), F.lit(0))
+        return F.when(found.isNotNull(), F.coalesce(found["_VALUE"], F.lit("")))
+
+    nodes = read("node", f"_id string, {data}").select(F.col("_id").alias("id"), *[value("node", n).alias(n) for n in NODE_KEYS[:-1]], value("node", "page_index").try_cast("int").alias("page_index"))
+    edges = read("edge", f"_source string, _target string, _id string, {data}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_id").alias("key"), *[value("edge", n).alias(n) for n in EDGE_KEYS])
+    return nodes, edges

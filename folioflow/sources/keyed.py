@@ -136,6 +136,15 @@ class KeyedTable:
         joined = rows.join(newest, rows[self.key].eqNullSafe(newest["replaced_key"]), "left")
         return joined.filter(F.col("segment_no") >= F.coalesce("newest_no", F.lit(0))).select(*schema.names)
 
+    def keys(self) -> DataFrame | None:
+        """Keys that the newest version's segments have, with rows or without; None where the table doesn't exist."""
+        state = self.snapshot()
+        if state is None:
+            return None
+        schema = T.StructType([T.StructType.fromJson(state["schema"])[self.key]])
+        paths = [f"{self.path}/segments/{s}/keys" for s in state["segments"]]
+        return self.spark.read.schema(schema).parquet(*paths).distinct() if paths else self.spark.createDataFrame([], schema)
+
     def count(self) -> int:
         """Rows of the newest version; 0 where the table doesn't exist."""
         rows = self.read()
@@ -145,9 +154,8 @@ class KeyedTable:
         """Fold all segments into one; raises ``Conflict`` where another version was added meanwhile."""
         state = self.snapshot()
         name = f"segment-{uuid.uuid4().hex}"
-        rows = self.read(state["version"])
-        rows.write.parquet(f"{self.path}/segments/{name}/rows")
-        self.spark.read.parquet(f"{self.path}/segments/{name}/rows").select(self.key).distinct().write.parquet(f"{self.path}/segments/{name}/keys")
+        self.read(state["version"]).write.parquet(f"{self.path}/segments/{name}/rows")
+        self.keys().write.parquet(f"{self.path}/segments/{name}/keys")
         return self._commit(state, segments=[name])
 
     def vacuum(self, keep: int = 1) -> None:

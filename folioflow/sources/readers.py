@@ -11,6 +11,7 @@ from .. import schemas
 from ..config import Config
 from ..functions import text as tx
 from . import shards
+from .keyed import KeyedTable
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -30,9 +31,18 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.CHUNK)
 
 
-def append_regions(regions: DataFrame, path: str) -> None:
-    """Add pages' regions; the output committer makes each write appear as a whole."""
-    regions.write.mode("append").partitionBy("doc_id").parquet(path)
+def region_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The table of regions by page: a page's regions are replaced as a whole, also by none."""
+    return KeyedTable(spark, path, "page_key")
+
+
+def put_regions(regions: DataFrame, pages: DataFrame, path: str, commit: str | None = None) -> int:
+    """Put the regions of ``pages`` (key) in place of what the table has of these pages.
+
+    A page that is worked off again leaves one copy, a crash leaves the old regions or the new ones, and the
+    replay of a batch that is named by ``commit`` changes nothing.
+    """
+    return region_table(regions.sparkSession, path).put(regions, pages.select(F.col("key").alias("page_key")), commit)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 BLOCK = 512
 SPLIT_BYTES = 32 << 20
 LONGEST_RECORD = 1 << 20
@@ -156,6 +158,7 @@ def read_samples(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT
     Equal to a sequential reading, in no order. Splits are read twice: for the samples inside them, and for
     their edges. Edges meet by shard; a shard's are at most a few samples for each of its splits.
     """
+    ship(spark)
     found = None
     for k, path in enumerate(paths):
         one = shard_parts(spark, path, split_bytes, f"{k} {path}")

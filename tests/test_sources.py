@@ -141,3 +141,28 @@ def test_keyed_table_survives_a_crash_and_a_rival(spark, tmp_path, monkeypatch):
     table.put(make([("c", 4)]))  # its first try is late and is made again on the newer version
     monkeypatch.undo()
     assert rows_of(table.read()) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from folioflow import schemas
+    from folioflow.sources import graphml
+
+    odd = ['a & b <c> "d"', " spaced ", "line\nbreak\ttab", "é中 ]]> --", "", None]
+    nodes = [(f"n{i} <&\">", "entity", odd[i % 6], odd[(i + 1) % 6], None, i if i % 2 else None) for i in range(60)]
+    edges = [(f"n{i} <&\">", f"n{i + 1} <&\">", "RELATES" if i % 2 else "MENTIONS", odd[i % 6], odd[(i + 2) % 6]) for i in range(59)]
+    path = str(tmp_path / "g.graphml")
+    n, e = spark.createDataFrame(nodes, schemas.NODE).repartition(3), spark.createDataFrame(edges, schemas.EDGE).repartition(3)
+    graphml.write_graphml(n, e, path)
+    graphml.write_graphml(n, e, path)
+    root = ET.parse(path).getroot()
+    assert len(root.findall(f".//{{{graphml.NAMESPACE}}}node")) == 60 and len(root.findall(f".//{{{graphml.NAMESPACE}}}edge")) == 59
+    assert [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+    back = graphml.read_graphml(spark, path)
+    assert rows_of(back[0]) == rows_of(n) and rows_of(back[1]) == rows_of(e)
+    other = tmp_path / "other.graphml"
+    other.write_text('<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d1" for="node" attr.name="ntype" attr.type="string" />\n<key id="d0" for="edge" attr.name="relation"/><key id="d9" for="node" attr.name="colour"/><graph edgedefault="directed"><node id="a"><data key="d9">red</data><data key="d1">entity</data></node><node id="b" />\n<edge source="a" target="b" id="K"><data key="d0">is</data></edge></graph></graphml>')
+    back = graphml.read_graphml(spark, str(other))
+    assert rows_of(back[0]) == [("a", "entity", None, None, None, None), ("b", None, None, None, None, None)]
+    assert rows_of(back[1]) == [("a", "b", "K", "is", None)]
