@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 LEAST_NAME, FREQUENCY_CAP, MOST_ANCHORS, MOST_PATHS = 4, 40, 8, 10
-#: Words of the longest name that n-gram linking looks for; longer names are linked by the theta join.
-LONGEST_NGRAM = 6
 
 
 def distinct_mentions(found: DataFrame) -> DataFrame:
@@ -94,40 +94,71 @@ def anchor_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def link_entities(anchors: DataFrame, queries: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
     """(qid, entity, name, surface, freq, rank): anchors whose names stand in the question as whole words.
 
-    Each query is exploded into its substrings that begin and end at word edges and are at most
-    ``LONGEST_NGRAM`` space-free runs long; these join the index by hash, so the cost follows the text and
-    not the number of anchors. Only the few names with more runs are compared with each query directly.
+    A question is exploded into its stretches that begin and end at word edges, have as many space-free runs as
+    some name has, and outer runs no longer than any name's runs; these join the index by hash. So the cost is
+    linear in a question's length, also where it has no space, and doesn't grow with the number of anchors.
     """
-    lowered = queries.select("qid", F.lower("question").alias("q"))
-    runs = F.size(F.split("name", " "))
-    short, long_ = anchors.filter(runs <= LONGEST_NGRAM), anchors.filter(runs > LONGEST_NGRAM)
-    words = lowered.select("qid", "q", F.split("q", " ").alias("w"))
-    first = words.select("qid", "q", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    spans = first.select("qid", "q", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_NGRAM), F.size("w") - F.col("i") + 1)), lambda n: F.slice("w", F.col("i"), n))).alias("s"))
-    # A name's outer runs may be parts of the text's outer runs ("(bert)"): all cuts at word edges are tried.
-    edges_of = spans.select("qid", "q", "s", F.explode(_cuts(F.element_at("s", 1), True)).alias("head"))
-    one = F.size("s") == 1
-    heads = edges_of.select("qid", "q", "s", "head", F.when(one, F.col("head")).otherwise(F.element_at("s", -1)).alias("tail"))
-    grams = heads.select("qid", "q", "s", "head", F.explode(_cuts(F.col("tail"), False)).alias("end"))
-    middle = F.slice("s", 2, F.greatest(F.size("s") - 2, F.lit(0)))
-    name = F.when(F.size("s") == 1, F.col("end")).otherwise(F.array_join(F.concat(F.array("head"), middle, F.array("end")), " "))
-    grams = grams.select("qid", "q", name.alias("name")).distinct()
-    hit = grams.join(short, "name").filter(tx.has_word(F.col("q"), F.col("name"))).select("qid", "entity", "name", "surface", "freq")
-    rest = lowered.join(long_, F.contains(F.col("q"), F.col("name"))).filter(tx.has_word(F.col("q"), F.col("name"))).select("qid", "entity", "name", "surface", "freq")
-    once = hit.unionByName(rest).dropDuplicates(["qid", "name"])
+    runs = F.split("name", " ")
+    # One row: the numbers of runs that names have, which are few, and the length of their longest run.
+    shape = anchors.agg(F.collect_set(F.size(runs)).alias("sizes"), F.coalesce(F.max(F.array_max(F.transform(runs, lambda r: F.char_length(r)))), F.lit(0)).alias("longest"))
+    words = queries.select("qid", F.split(F.lower("question"), " ").alias("w")).filter("w is not null").crossJoin(F.broadcast(shape))
+    single = words.filter(F.array_contains("sizes", 1)).select("qid", "longest", F.explode("w").alias("run"))
+    single = single.select("qid", F.explode(_stretches(F.col("run"), F.col("longest"))).alias("name"))
+    sized = words.select("qid", "w", "longest", F.explode("sizes").alias("n")).filter("n > 1 and n <= size(w)")
+    at = sized.select("qid", "longest", "n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
+    spans = at.select("qid", "longest", F.slice("w", F.col("i"), F.col("n")).alias("s"))
+    # A name's outer runs may be parts of the text's outer runs ("(bert)").
+    spans = spans.filter(F.forall(F.slice("s", 2, F.size("s") - 2), lambda r: F.char_length(r) <= F.col("longest")))
+    heads = spans.select("longest", "qid", "s", F.explode(_outer(F.element_at("s", 1), F.col("longest"), True)).alias("head"))
+    grams = heads.select("qid", "s", "head", F.explode(_outer(F.element_at("s", -1), F.col("longest"), False)).alias("end"))
+    name = F.array_join(F.concat(F.array("head"), F.slice("s", 2, F.size("s") - 2), F.array("end")), " ")
+    found = single.unionByName(grams.select("qid", name.alias("name"))).filter("name <> ''").distinct()
+    once = found.join(anchors, "name").dropDuplicates(["qid", "name"]).select("qid", "entity", "name", "surface", "freq")
     order = Window.partitionBy("qid").orderBy("freq", "name")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def _cuts(run, suffixes: bool):
-    """All suffixes or prefixes of a space-free run that begin or end at a word edge, the run itself included."""
-    n = F.char_length(run)
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    if suffixes:
-        fits = lambda i: (i == 1) | ~F.rlike(F.substring(run, i - 1, F.lit(1)), F.lit(r"(?U)\w"))
-        return F.transform(F.filter(at, fits), lambda i: F.substring(run, i, n))
-    fits = lambda i: (i >= n) | ~F.rlike(F.substring(run, i + 1, F.lit(1)), F.lit(r"(?U)\w"))
-    return F.transform(F.filter(at, fits), lambda i: F.substring(run, F.lit(1), i))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once and not again for each element of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_word(char: Column) -> Column:
+    return F.rlike(char, F.lit(r"(?U)\w"))
+
+
+def _text(chars: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(chars, first, last - first + 1), "")
+
+
+def _outer(run: Column, longest: Column, suffixes: bool) -> Column:
+    """Suffixes or prefixes of a run, of at most ``longest`` characters, that begin or end at a word edge."""
+
+    def cuts(chars: Column) -> Column:
+        n = F.size(chars)
+        if suffixes:
+            at = F.filter(F.sequence(F.greatest(n - longest + 1, F.lit(1)), n), lambda i: (i == 1) | ~_in_word(F.get(chars, i - 2)))
+            return F.transform(at, lambda i: _text(chars, i, n))
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.least(n, longest), F.lit(1))), lambda i: (i == n) | ~_in_word(F.get(chars, i)))
+        return F.transform(at, lambda i: _text(chars, F.lit(1), i))
+
+    return _bound(F.split(run, ""), cuts)
+
+
+def _stretches(run: Column, longest: Column) -> Column:
+    """Parts of a run, of at most ``longest`` characters, that begin and end at word edges."""
+
+    def cuts(chars: Column) -> Column:
+        n = F.size(chars)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | ~_in_word(F.get(chars, i - 2)))
+
+        def of(i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.greatest(F.least(n, i + longest - 1), i)), lambda j: (j == n) | ~_in_word(F.get(chars, j)))
+            return F.transform(ends, lambda j: _text(chars, i, j))
+
+        return F.flatten(F.transform(starts, of))
+
+    return _bound(F.split(run, ""), cuts)
 
 
 def neighbours(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,7 +190,7 @@ def reached_entities(nodes: DataFrame, edges: DataFrame, linked: DataFrame, hops
 
 def ranked_chunks(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(qid, chunk_id, score, rank): sum of 1 / (dist + 1) over the reached entities that a chunk mentions."""
-    mention = edges.filter("key = 'MENTIONS'").select(F.col("src").alias("chunk_id"), F.col("dst").alias("entity")).distinct()
+    mention = edges.filter("key = 'MENTIONS'").select(F.col("src").alias("chunk_id"), F.col("dst").alias("entity"))  # one edge for each
     scored = reached.join(mention, "entity").groupBy("qid", "chunk_id").agg(F.round(F.sum(1 / (F.col("dist") + F.lit(1.0))), 12).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order))

@@ -98,7 +98,7 @@ def anchor_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ITEM_SQL} SELECT qid, entity, freq, rank FROM linked")
 def entity_link(spark: SparkSession, d: str) -> DataFrame:
-    return graph.link_entities(graph.anchor_index(*tables(spark, d)), asked(spark, d)).select("qid", "entity", "freq", "rank")
+    return graph.link_entities(stored(graph.anchor_index(*tables(spark, d))), asked(spark, d)).select("qid", "entity", "freq", "rank")
 
 
 def expand_sql(hops: int) -> str:
@@ -115,7 +115,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
 
 def expanded(spark: SparkSession, d: str, hops: int) -> DataFrame:
     nodes, edges = stored_tables(spark, d)
-    linked = stored(graph.link_entities(graph.anchor_index(nodes, edges), asked(spark, d)))
+    linked = stored(graph.link_entities(stored(graph.anchor_index(nodes, edges)), asked(spark, d)))
     return graph.ranked_chunks(edges, graph.reached_entities(nodes, edges, linked, hops)).filter("rank <= 30")
 
 
@@ -133,7 +133,7 @@ def graph_expand_2hop(spark: SparkSession, d: str) -> DataFrame:
 SELECT qid, pos, path FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, split_part(supplier, '::', 3), supplier) AS pos,
   'Part ' || split_part(part, ' ', 2) || ' --' || relation || '--> ' || split_part(supplier, '::', 3) AS path FROM linked JOIN rel ON rel.part = linked.entity) WHERE pos <= 10""")
 def graph_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables(spark, d)
+    nodes, edges = stored_tables(spark, d)
     return graph.relation_paths(nodes, edges, graph.link_entities(graph.anchor_index(nodes, edges), asked(spark, d)))
 
 
