@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Queries whose vectors are handed to the tasks at once; larger query sets are worked off in blocks.
-QUERY_BLOCK = 4096
+#: Queries whose vectors are handed to the tasks at once, and rows that a block of queries meets at once where there are more.
+QUERY_BLOCK, ROW_BUCKET = 4096, 65_536
 SCORE_DIGITS = 6
 
 
@@ -22,73 +22,87 @@ def _best(hits: DataFrame, k: int, key: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _scan(docs: DataFrame, key: str, vector: str, names: list, matrix: np.ndarray, k: int) -> DataFrame:
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a column's vectors that have a length, and these vectors, scaled to length one."""
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if not len(rows):
+        return rows, np.zeros((0, 0))
+    flat = column.take(pa.array(rows)) if len(rows) < len(column) else column
+    x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+    length = np.sqrt((x * x).sum(1))
+    return rows[length > 0], x[length > 0] / length[length > 0][:, None]
+
+
+def _hits(scores: np.ndarray, keys: pa.Array, names: pa.Array, k: int, key: str) -> pa.RecordBatch:
+    """The k best rows of each column of ``scores``; ties fall to the smaller key."""
+    n = len(scores)
+    if n > k:  # all that reach the k-th best score, which ties may make more
+        q, at = np.nonzero((scores >= np.partition(scores, n - k, axis=0)[n - k]).T)
+    else:
+        q, at = np.repeat(np.arange(scores.shape[1]), n), np.tile(np.arange(n), scores.shape[1])
+    kept, place = np.unique(at, return_inverse=True)
+    by_key = np.argsort(np.argsort(np.array(keys.take(pa.array(kept)).to_pylist(), dtype=object), kind="stable"))[place]
+    order = np.lexsort((by_key, -scores[at, q], q))
+    q, at = q[order], at[order]
+    within = np.arange(len(q)) - np.searchsorted(q, q)
+    q, at = q[within < k], at[within < k]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys.take(pa.array(at)), pa.array(scores[at, q])], ["qid", key, "score"])
+
+
+def _scan(docs: DataFrame, key: str, vector: str, names: pa.Array, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
     """One pass over ``docs`` for one block of unit query vectors; each batch keeps its k best per query."""
-    kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(vector)
-            rows = [i for i, ok in enumerate(column.is_valid().to_pylist()) if ok]
-            flat = column.take(pa.array(rows, pa.int64())) if len(rows) < len(column) else column
-            if not rows:
-                continue
-            x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
-            length = np.sqrt((x * x).sum(1))
-            rows, x, length = np.array(rows)[length > 0], x[length > 0], length[length > 0]
-            if len(rows) == 0:
-                continue
-            scores = np.round((x @ matrix.T) / length[:, None], SCORE_DIGITS)
-            keys = batch.column(key).take(pa.array(rows, pa.int64()))
-            by_key = np.argsort(np.argsort(np.array(keys.to_pylist(), dtype=object), kind="stable"))
-            at, q = [], []
-            for j in range(scores.shape[1]):
-                order = np.lexsort((by_key, -scores[:, j]))[:k]
-                at.append(order)
-                q.append(np.full(len(order), j))
-            at, q = np.concatenate(at), np.concatenate(q)
-            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in q]), keys.take(pa.array(at)), pa.array(scores[at, q])], ["qid", key, "score"])
-
-    qid_type = "string" if names and isinstance(names[0], str) else "bigint"
-    return docs.select(key, vector).mapInArrow(run, f"qid {qid_type}, {key} {kind.simpleString()}, score double")
+            rows, x = _vectors(batch.column(vector))
+            if len(rows):
+                yield _hits(np.round(x @ matrix.T, SCORE_DIGITS), batch.column(key).take(pa.array(rows)), names, k, key)
+
+    return docs.select(key, vector).mapInArrow(run, schema)
+
+
+def _grid(docs: DataFrame, asked: DataFrame, key: str, k: int, blocks: int, schema: str) -> DataFrame:
+    """Blocks of queries against buckets of rows: each pair of a block and a bucket meets in one task.
+
+    Rows go to every block and queries to every bucket, so the rows are shuffled once for ``QUERY_BLOCK`` queries.
+    """
+    buckets = max(1, -(-docs.count() // ROW_BUCKET))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = docs.withColumn("bucket", dealt(buckets, key, "v")).select("bucket", each(blocks).alias("block"), F.col(key).alias("key"), "v")
+    right = asked.withColumn("block", dealt(blocks, "qid", "v")).select("block", each(buckets).alias("bucket"), "qid", "v")
+
+    def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        at, x = _vectors(rows.column("v").combine_chunks())
+        q, m = _vectors(queries.column("v").combine_chunks())
+        if len(at) and len(q):
+            keys, names = rows.column("key").combine_chunks().take(pa.array(at)), queries.column("qid").combine_chunks().take(pa.array(q))
+            return pa.Table.from_batches([_hits(np.round(x @ m.T, SCORE_DIGITS), keys, names, k, key)])
+        empty = [pa.array([], t) for t in (queries.schema.field("qid").type, rows.schema.field("key").type, pa.float64())]
+        return pa.table(empty, names=["qid", key, "score"])
+
+    return left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInArrow(meet, schema)
 
 
 def dense_topk(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, key, score, rank): cosine top-k of each query (qid, vector) over all rows, exactly.
 
-    The collection is scanned in place, by one matrix product per batch, and only k rows per query and
-    batch leave a task. Queries go to the tasks in blocks of ``QUERY_BLOCK``. Scores are rounded to six
-    digits before ranking, so ties don't hang on the order of additions. Null and zero vectors match nothing.
+    Up to ``QUERY_BLOCK`` queries go to the tasks as one matrix, and the collection is scanned in place; only k
+    rows per query and batch leave a task. More queries are never held by the driver: blocks of them meet
+    buckets of rows (``_grid``). Scores are rounded to six digits before ranking, so ties don't hang on the
+    order of additions. Null and zero vectors match nothing.
     """
-    rows = queries.select("qid", F.col(vector).alias("v")).filter("v is not null").toLocalIterator(prefetchPartitions=False)
-    parts: list[DataFrame] = []
-    names: list = []
-    vectors: list = []
-
-    def flush() -> None:
-        if names:
-            m = np.array(vectors, np.float64)
-            length = np.sqrt((m * m).sum(1))
-            good = length > 0
-            kept = [n for n, ok in zip(names, good, strict=True) if ok]
-            if kept:
-                parts.append(_scan(docs, key, vector, kept, m[good] / length[good][:, None], k))
-            names.clear()
-            vectors.clear()
-
-    for row in rows:
-        names.append(row["qid"])
-        vectors.append(row["v"])
-        if len(names) == QUERY_BLOCK:
-            flush()
-    flush()
-    if not parts:
-        kind = docs.schema[key].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"qid bigint, {key} {kind}, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _best(out, k, key)
+    asked = queries.select("qid", F.col(vector).alias("v")).filter("v is not null")
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if first.num_rows <= QUERY_BLOCK:
+        at, matrix = _vectors(first.column("v").combine_chunks())
+        names = first.column("qid").combine_chunks().take(pa.array(at))
+        hits = _scan(docs, key, vector, names, matrix, k, schema) if len(at) else docs.sparkSession.createDataFrame([], schema)
+    else:
+        rows = docs.select(key, F.col(vector).alias("v")).filter("v is not null")
+        hits = _grid(rows, asked, key, k, -(-asked.count() // QUERY_BLOCK), schema)
+    return _best(hits, k, key)
 
 
 def match_documents(df: DataFrame, doc_ids: list[str] | None, doc_col: str = "doc_id") -> DataFrame:
