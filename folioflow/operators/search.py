@@ -13,6 +13,8 @@ from ..functions import text as tx
 
 #: Queries whose vectors are handed to the tasks at once, and rows that a block of queries meets at once where there are more.
 QUERY_BLOCK, ROW_BUCKET = 4096, 65_536
+#: Terms of all queries that are handed to the tasks at once, and scores that a task holds at once.
+MOST_POSTINGS, SCORE_CELLS = 1 << 18, 4_000_000
 SCORE_DIGITS = 6
 
 
@@ -110,13 +112,61 @@ def match_documents(df: DataFrame, doc_ids: list[str] | None, doc_col: str = "do
     return df.filter(F.col(doc_col).isin(list(doc_ids))) if doc_ids else df
 
 
+def _sparse_scan(docs: DataFrame, key: str, weights: str, postings: pa.Table, k: int, schema: str) -> DataFrame:
+    """One pass over ``docs`` against the queries' postings (qid, term, wq); each batch keeps its k best per query."""
+    names, terms = (postings.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("qid", "term"))
+    term = terms.indices.to_numpy()
+    order = np.argsort(term, kind="stable")
+    query = names.indices.to_numpy()[order]
+    weight = postings.column("wq").to_numpy().astype(np.float64)[order]
+    sizes = np.bincount(term, minlength=len(terms.dictionary))
+    begins = np.cumsum(sizes) - sizes
+    names, terms = names.dictionary, terms.dictionary
+    step = max(1, SCORE_CELLS // len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column = batch.column(weights)
+            offsets = column.offsets.to_numpy()
+            low, high = int(offsets[0]), int(offsets[-1])
+            found = pc.index_in(column.keys.slice(low, high - low), value_set=terms)
+            at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            t = found.take(pa.array(at)).to_numpy()
+            w = column.items.slice(low, high - low).take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.searchsorted(offsets, at + low, side="right") - 1
+            for s in range(0, batch.num_rows, step):
+                a, e = np.searchsorted(row, (s, s + step))
+                n = sizes[t[a:e]]
+                place = np.repeat(begins[t[a:e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat(row[a:e] - s, n) * len(names) + query[place]
+                shape = (min(step, batch.num_rows - s), len(names))
+                scores = np.bincount(cell, np.repeat(w[a:e], n) * weight[place], shape[0] * shape[1])
+                shared = np.bincount(cell, minlength=shape[0] * shape[1]) > 0
+                scores = np.where(shared, np.round(scores, SCORE_DIGITS), -np.inf).reshape(shape)
+                some = np.flatnonzero(shared.reshape(shape).any(axis=1))
+                if len(some):
+                    hits = _hits(scores[some], batch.column(key).take(pa.array(some + s)), names, k, key)
+                    yield hits.filter(pc.is_finite(hits.column("score")))
+
+    return docs.select(key, weights).mapInArrow(run, schema)
+
+
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", weights: str = "sparse") -> DataFrame:
     """(qid, key, score, rank): dot product over shared terms; rows without a shared term don't match.
 
-    Both sides are (id, map<term, weight>) tables; terms join by hash, and sums combine map-side.
+    Both sides are (id, map<term, weight>) tables with one row for each id. Up to ``QUERY_BLOCK`` queries of together
+    ``MOST_POSTINGS`` terms go to the tasks as postings, and the rows are scanned in place: only k rows per query
+    and batch leave a task, also where a term stands in every row. Beyond that terms are joined by hash.
     """
+    q = queries.select("qid", F.explode(weights).alias("term", "wq")).filter("wq is not null")
+    first = q.limit(MOST_POSTINGS + 1).toArrow()
+    if first.num_rows <= MOST_POSTINGS and len(first.column("qid").unique()) <= QUERY_BLOCK:
+        schema = f"qid {q.schema['qid'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+        hits = _sparse_scan(docs, key, weights, first, k, schema) if first.num_rows else docs.sparkSession.createDataFrame([], schema)
+        return _best(hits, k, key)
     d = docs.select(key, F.explode(weights).alias("term", "wd"))
-    q = queries.select("qid", F.explode(weights).alias("term", "wq"))
     hits = d.join(q, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("wd").cast("double") * F.col("wq").cast("double")), SCORE_DIGITS).alias("score"))
     return _best(hits, k, key)
 

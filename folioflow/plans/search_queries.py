@@ -55,10 +55,16 @@ sparse AS (SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PA
 
 
 def word_weights(df: DataFrame, key: str) -> DataFrame:
-    """(key, sparse): word counts of a text as a map; counted by rows, so long texts cost no more per word."""
-    words = df.select(key, F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("t")).filter("t <> ''")
-    counted = words.groupBy(key, "t").agg(F.count("*").cast("float").alias("n"))
-    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("sparse"))
+    """(key, sparse): word counts of a text as a map. Words are counted in their row: sorted, equal ones stand together."""
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a value that is computed once
+
+    def counted(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        sizes = lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s) + 1)), lambda a, b: F.when(a.isNotNull(), (b - a).cast("float")))
+        return bound(heads, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i - 1)), sizes(at)))
+
+    words = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    return df.select(key, bound(F.sort_array(words), lambda s: F.when(F.size(s) > 0, counted(s))).alias("sparse")).filter("sparse is not null")
 
 
 def word_search(spark: SparkSession, d: str, k: int) -> DataFrame:
