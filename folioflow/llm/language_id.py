@@ -120,7 +120,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     n_lang = scores[0].shape[1]
     flat = np.concatenate([scores[k] for k in order])
     starts = np.cumsum(lengths) - lengths
-    came = np.zeros(len(flat), np.int8)  # best label of the word before
+    came = np.zeros(len(flat), np.int16)  # best label of the word before
     stays = np.ones((len(flat), n_lang), bool)
     longest = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # documents with more than t words
@@ -138,7 +138,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         came[at], stays[at] = top, keep
         state = np.where(keep, state, switch[:, None]) + flat[at]
     last[: len(state)] = state
-    labels = np.zeros(len(flat), np.int8)
+    labels = np.zeros(len(flat), np.int16)
     ends = lengths > 0
     now = np.zeros(len(order), np.int64)
     now[ends] = last[ends].argmax(1)
@@ -148,7 +148,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         labels[at] = now[:n]
         if t:
             now[:n] = np.where(stays[at, now[:n]], now[:n], came[at])
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(order)
+    out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(order)
     for k, s, n in zip(order, starts.tolist(), lengths.tolist(), strict=True):
         out[k] = labels[s : s + n]
     return out
@@ -191,7 +191,7 @@ class Labeller:
             return [("und", 0.0, [])] * len(texts)
         self.learn(found)
         codes = [np.fromiter(map(self.code.__getitem__, words), np.int64, len(words)) for words in found]
-        paths = viterbi([self.scores[c] for c in codes], self.penalty) if any(found) else [np.zeros(0, np.int8)] * len(texts)
+        paths = viterbi([self.scores[c] for c in codes], self.penalty) if any(found) else [np.zeros(0, np.int16)] * len(texts)
         out = []
         for text, c, path in zip(texts, codes, paths, strict=True):
             letters = np.bincount(path, self.letters[c], len(self.model.languages)) if len(c) else np.zeros(1)
