@@ -191,20 +191,39 @@ def paragraphs_of(text):
     return [(a, b, len(data[a:b].split())) for a, b in zip(starts, [*starts[1:], len(data)], strict=False)]
 
 
+def words_around(data, place, after):
+    """Words on one side of a place, nearest first, and the byte each reaches."""
+    each = [(m.group(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    return [(w, e) for w, s, e in each if s >= place] if after else [(w, s) for w, s, e in reversed(each) if e <= place]
+
+
 def removed_of(texts, least=20):
-    """Spans that go, by document: runs of paragraphs that repeat an earlier one, of ``least`` words or more."""
+    """Spans that go, by document: runs of paragraphs that repeat an earlier one, with the words around them that
+    stand around the earlier one too, of ``least`` words or more."""
     sets = {(i, a, b): shingle_set(texts[i].encode()[a:b].decode()) for i in texts for a, b, _ in paragraphs_of(texts[i])}
     parts = components_of(sets)
     out = {}
     for i in texts:
         runs = []
         for a, b, n in paragraphs_of(texts[i]):
-            if parts[i, a, b] != (i, a, b):
+            lead = parts[i, a, b]
+            if lead != (i, a, b):
                 if runs and runs[-1][1] == a:
-                    runs[-1][1:] = [b, runs[-1][2] + n]
+                    runs[-1][1:] = [b, runs[-1][2] + n, runs[-1][3], lead]
                 else:
-                    runs.append([a, b, n])
-        out[i] = [(a, b) for a, b, n in runs if n >= least]
+                    runs.append([a, b, n, lead, lead])
+        gone, spans = set(), []
+        for a, b, n, first, last in runs:
+            for after, place, (j, x, y) in ((False, a, first), (True, b, last)):
+                mine, theirs = words_around(texts[i].encode(), place, after), words_around(texts[j].encode(), y if after else x, after)
+                for (w, e), (v, _) in zip(mine, theirs, strict=False):
+                    if w != v:
+                        break
+                    n, a, b = n + 1, (a if after else e), (e if after else b)
+            spans += [(a, b)] if n >= least else []
+        for a, b in spans:
+            gone |= set(range(a, b))
+        out[i] = [(a, min(b for b in gone if b >= a and b + 1 not in gone) + 1) for a in sorted(gone) if a - 1 not in gone]
     return out
 
 

@@ -59,6 +59,43 @@ def test_passages_of_over_fifty_words_are_found(spark, how):
     assert not any(out[k] for k in range(300)) and sum(bool(out[1000 + k]) for k in range(300)) >= 285
 
 
+@pytest.mark.parametrize("sentences", [(6, 16), (14, 40)])
+def test_passages_lose_nearly_all_their_words_and_nothing_else(spark, sentences):
+    """100 passages a length stand in two texts each: at least 0.9 of the later copies lose 0.9 of the bytes or more."""
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdeghiklmnorstu") for _ in range(r.randint(2, 9))) for _ in range(6000)]
+
+    def prose(n):
+        out = [r.choice(words) for _ in range(n)]
+        k = r.randint(3, sentences[1])
+        while k < n:
+            out[k] += "."
+            k += r.randint(*sentences)
+        return out
+
+    rows, at = [], {}
+    for m, n in enumerate((51, 60, 80, 120)):
+        for k in range(100):
+            body = " ".join(prose(n))
+            for i in (1000 * m + k, 10000 + 1000 * m + k):
+                head = " ".join(prose(r.randint(20, 150))) + " "
+                at[i] = (len(head), len(head) + len(body))
+                rows.append((i, f"{head}{body} {' '.join(prose(r.randint(20, 150)))}"))
+    out = {x["doc_id"]: x["removed"] for x in substring_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for m in range(4):
+        shares, outside = [], 0
+        for k in range(100):
+            assert not out[1000 * m + k]
+            i = 10000 + 1000 * m + k
+            low, high = at[i]
+            inside = sum(max(0, min(s["end"], high) - max(s["start"], low)) for s in out[i])
+            # A paragraph at the passage's edge may hold some words from outside and still reach the similarity.
+            assert sum(s["end"] - s["start"] for s in out[i]) <= inside + 60
+            outside += sum(s["end"] - s["start"] for s in out[i]) - inside
+            shares.append(inside / (high - low))
+        assert sum(x >= 0.9 for x in shares) >= 90 and outside < 300, (m, outside, shares)
+
+
 def test_paragraph_heads_depend_on_no_other_text():
     r = random.Random(9)
     texts = [" ".join(r.choice(["ab", "cde.", "f\n", "ghij", "k!"]) for _ in range(r.randint(0, 300))).encode() for _ in range(40)] + [b"ab " * 1000, b""]
