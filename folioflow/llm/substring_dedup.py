@@ -63,7 +63,8 @@ def paragraph_heads(texts: list[bytes], hashes: np.ndarray, owner: np.ndarray, s
     lines = np.cumsum(data == 10)
     strong = np.zeros(n, bool)
     strong[1:] = np.isin(data[end[:-1] - 1], np.frombuffer(b".!?", np.uint8)) | (lines[start[1:]] > lines[end[:-1] - 1])
-    score = mixed(hashes + np.append(hashes[1:], U(0)) * U(31)) >> U(2)
+    after = np.append(np.where(owner[1:] == owner[:-1], hashes[1:], U(0)), U(0))
+    score = mixed(hashes + after * U(31)) >> U(2)
     score[~strong] |= U(1 << 62)
     place = np.arange(n) + (owner + 1) * REACH  # texts stand apart, so that none sees another
     wide = np.full(place[-1] + REACH + 1, ~U(0), U)
