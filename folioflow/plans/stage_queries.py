@@ -134,3 +134,20 @@ def graphml_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = tables(spark, d, relations=False)
     graphml.write_graphml(nodes, edges, path)
     return graphml.read_graphml(spark, path)[0]
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey, r_name || ' {"[' AS name FROM lineitem LEFT JOIN region ON r_regionkey = l_linenumber % 7)
+SELECT o_orderkey AS image_id, count(l_orderkey) AS n_annotations, coalesce(sum(l_partkey), 0)::BIGINT AS parts, coalesce(string_agg(coalesce(name, ''), ',' ORDER BY coalesce(name, '')), '') AS names
+FROM orders LEFT JOIN a ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def coco_file(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as images and line items as annotations, written as one COCO file and read back in byte ranges."""
+    path = f"{fresh_folder(spark, 'coco')}/annotations.json"
+    key = F.col("o_orderkey")
+    images = table(spark, d, "orders").select(key.alias("id"), F.concat(F.lit('a "b}/O_'), key.cast("string"), F.lit(".png")).alias("file_name"), F.lit(612).alias("width"), F.lit(792).alias("height"))
+    notes = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") % 7).alias("category_id"), F.array(F.col("l_partkey").cast("double")).alias("bbox"))
+    kinds = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.concat("r_name", F.lit(' {"[')).alias("name"))
+    readers.write_coco(images, notes, kinds, path)
+    pages = readers.read_coco(spark, path)
+    names = F.array_join(F.sort_array(F.transform("annotations", lambda a: a["category_name"])), ",")
+    parts = F.aggregate("annotations", F.lit(0).cast("long"), lambda s, a: s + a["bbox"][0].cast("long"))
+    return pages.select(F.col("page_index").cast("long").alias("image_id"), F.size("annotations").cast("long").alias("n_annotations"), parts.alias("parts"), names.alias("names"))

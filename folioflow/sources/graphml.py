@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .parts import write_whole
 
 NAMESPACE = "http://graphml.graphdrawing.org/xmlns"
 NODE_KEYS = ("ntype", "label", "name", "doc_id", "page_index")
@@ -42,32 +41,10 @@ def _lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One GraphML file at ``path``, put in place at the end.
-
-    The executors write the elements as text, in parallel; the parts are then copied one after the other into
-    the file, byte by byte through the file system, so the driver holds no row of them.
-    """
-    spark = nodes.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs, parts = at(path).getFileSystem(conf), f"{path}.parts-{uuid.uuid4().hex}"
+    """One GraphML file at ``path``, put in place at the end; the driver holds no row of it."""
     keys = "".join(f'<key id="{kind}_{n}" for="{kind}" attr.name="{n}" attr.type="{"int" if n == "page_index" else "string"}"/>\n' for kind, names in (("node", NODE_KEYS), ("edge", EDGE_KEYS)) for n in names)
-    try:
-        for name, lines in zip(("nodes", "edges"), _lines(nodes, edges), strict=True):
-            lines.write.text(f"{parts}/{name}")
-        out = fs.create(at(f"{parts}/whole"))
-        out.write(bytearray(f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="{NAMESPACE}">\n{keys}<graph edgedefault="directed">\n'.encode()))
-        for name in ("nodes", "edges"):
-            for file in sorted(s.getPath().toString() for s in fs.listStatus(at(f"{parts}/{name}")) if s.getPath().getName().startswith("part-")):
-                part = fs.open(at(file))
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
-                part.close()
-        out.write(bytearray(b"</graph>\n</graphml>\n"))
-        out.close()
-        fs.delete(at(path), True)
-        fs.rename(at(f"{parts}/whole"), at(path))
-    finally:
-        fs.delete(at(parts), True)
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="{NAMESPACE}">\n{keys}<graph edgedefault="directed">\n'
+    write_whole([head.encode(), *_lines(nodes, edges), b"</graph>\n</graphml>\n"], path)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import Config
 from ..functions import text as tx
-from . import shards
+from . import json_arrays, shards
 from .keyed import KeyedTable
+from .parts import write_whole
+
+COCO_IMAGE = "id bigint, file_name string, width int, height int"
+COCO_ANNOTATION = "id bigint, image_id bigint, category_id int, bbox array<double>, category_name string"
+COCO_CATEGORY = "id int, name string"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,15 +56,18 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_coco(spark: SparkSession, annotations_path: str, image_dir: str | None = None, max_pages: int = 0) -> DataFrame:
-    """Pages of a COCO file; images whose file is missing are skipped and don't count towards ``max_pages``."""
-    raw = spark.read.option("multiLine", True).schema(
-        "images array<struct<id:bigint,file_name:string,width:int,height:int>>, "
-        "annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,category_name:string>>, "
-        "categories array<struct<id:int,name:string>>"
-    ).json(annotations_path)
-    images = raw.select(F.inline("images"))
-    annotations = raw.select(F.posexplode("annotations").alias("pos", "a")).select("pos", "a.*")
-    categories = raw.select(F.inline("categories"))
+    """Pages of a COCO file; images whose file is missing are skipped and don't count towards ``max_pages``.
+
+    The file, one JSON document, is read in byte ranges (``json_arrays``).
+    """
+    found = json_arrays.read_arrays(spark, annotations_path)
+
+    def section(name: str, schema: str) -> DataFrame:
+        return found.filter(F.col("section") == name).select("pos", F.from_json("value", schema).alias("a")).select("pos", "a.*")
+
+    images = section("images", COCO_IMAGE).drop("pos")
+    annotations = section("annotations", COCO_ANNOTATION)
+    categories = section("categories", COCO_CATEGORY).drop("pos")
     if image_dir is not None:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(image_dir)
         files = files.select(F.element_at(F.split("path", "/"), -1).alias("base"), F.col("content").alias("image"))
@@ -70,6 +78,12 @@ def read_coco(spark: SparkSession, annotations_path: str, image_dir: str | None
     return pages.limit(max_pages) if max_pages else pages
 
 
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
+    """One COCO file of three tables whose columns are the objects' fields; null fields are left out."""
+    listed = lambda df: df.select(F.concat(F.lit(","), F.to_json(F.struct("*"))).alias("value"))
+    write_whole([b'{"images": [\n', listed(images), b'], "annotations": [\n', listed(annotations), b'], "categories": [\n', listed(categories), b"]}\n"], path, skip=1)
+
+
 def coco_pages(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """Images with their annotations in file order; images without any have an empty list.
 
