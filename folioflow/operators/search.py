@@ -51,6 +51,19 @@ def _hits(scores: np.ndarray, keys: pa.Array, names: pa.Array, k: int, key: str)
     return pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys.take(pa.array(at)), pa.array(scores[at, q])], ["qid", key, "score"])
 
 
+def _tiles(x: np.ndarray, matrix: np.ndarray, keys: pa.Array, names: pa.Array, k: int, key: str) -> Iterator[pa.RecordBatch]:
+    """The k best of the rows ``x`` for each row of ``matrix``, tile by tile, so that only ``SCORE_CELLS`` scores are held at once.
+
+    A tile has many rows and few queries, so that few hits leave it; no more than k rows of each stretch of rows stay.
+    """
+    wide = max(1, min(len(x), SCORE_CELLS // 64))
+    few = max(1, SCORE_CELLS // wide)
+    for a in range(0, len(x), wide):
+        for b in range(0, len(matrix), few):
+            scores = np.round(x[a : a + wide] @ matrix[b : b + few].T, SCORE_DIGITS)
+            yield _hits(scores, keys.slice(a, wide), names.slice(b, few), k, key)
+
+
 def _scan(docs: DataFrame, key: str, vector: str, names: pa.Array, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
     """One pass over ``docs`` for one block of unit query vectors; each batch keeps its k best per query."""
 
@@ -58,7 +71,7 @@ def _scan(docs: DataFrame, key: str, vector: str, names: pa.Array, matrix: np.nd
         for batch in batches:
             rows, x = _vectors(batch.column(vector))
             if len(rows):
-                yield _hits(np.round(x @ matrix.T, SCORE_DIGITS), batch.column(key).take(pa.array(rows)), names, k, key)
+                yield from _tiles(x, matrix, batch.column(key).take(pa.array(rows)), names, k, key)
 
     return docs.select(key, vector).mapInArrow(run, schema)
 
@@ -79,7 +92,7 @@ def _grid(docs: DataFrame, asked: DataFrame, key: str, k: int, blocks: int, sche
         q, m = _vectors(queries.column("v").combine_chunks())
         if len(at) and len(q):
             keys, names = rows.column("key").combine_chunks().take(pa.array(at)), queries.column("qid").combine_chunks().take(pa.array(q))
-            return pa.Table.from_batches([_hits(np.round(x @ m.T, SCORE_DIGITS), keys, names, k, key)])
+            return pa.Table.from_batches(_tiles(x, m, keys, names, k, key))
         empty = [pa.array([], t) for t in (queries.schema.field("qid").type, rows.schema.field("key").type, pa.float64())]
         return pa.table(empty, names=["qid", key, "score"])
 
