@@ -23,58 +23,114 @@ def distinct_mentions(found: DataFrame) -> DataFrame:
     return first.select("chunk_id", (F.row_number().over(order) - 1).alias("pos"), F.col("f.text").alias("text"), "label", F.col("f.score").alias("score"))
 
 
+def _within(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with their chunk's ``ord``, which they may have already."""
+    return rows if "ord" in rows.columns else rows.join(chunks.select("chunk_id", "ord"), "chunk_id")
+
+
+def _spoken(mentions: DataFrame) -> DataFrame:
+    """Mentions as rows; they may come as a list ``said`` (pos, text, label) in their chunk's row."""
+    if "said" not in mentions.columns:
+        return mentions
+    return mentions.select(*[c for c in mentions.columns if c != "said"], F.explode("said").alias("m")).select("*", "m.*").drop("m")
+
+
+def _listed(mentions: DataFrame) -> DataFrame:
+    """Mentions as one row for each chunk, with a list ``said`` (pos, text, label) by position."""
+    if "said" in mentions.columns:
+        return mentions
+    return mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "label"))).alias("said"))
+
+
+def _uses(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None) -> DataFrame:
+    """(text, label, hint, first): each spelling under each label, and its first use as one number.
+
+    Numbers are kept by a hash aggregate where structs would be sorted, and spellings are few beside their uses.
+    """
+    rows = _spoken(_within(chunks, mentions))
+    used = rows.select("text", "label", F.coalesce("label", F.lit("")).alias("hint"), "ord", F.lit(0).alias("kind"), "pos", F.lit(0).alias("side"))
+    if triples is not None:
+        placed = _within(chunks, triples)
+        for side, end in enumerate(("subject", "object")):
+            used = used.unionByName(placed.select(F.col(end).alias("text"), F.lit("concept").alias("label"), _hint(triples, end).alias("hint"), "ord", F.lit(1).alias("kind"), "pos", F.lit(side).alias("side")))
+    # ord, kind, pos and side in one number, in this order
+    within = ((F.shiftleft(F.col("kind").cast("long"), 32) + F.col("pos")) * 2 + F.col("side")).cast("decimal(11,0)")
+    place = F.col("ord").cast("decimal(19,0)") * F.lit(10**11).cast("decimal(12,0)") + within
+    return used.groupBy("text", "label", "hint").agg(F.min(place).alias("first"))
+
+
+def _hint(triples: DataFrame, end: str) -> Column:
+    """The label that the end of a triple is expected to have; where it holds, no join is needed to name its node."""
+    return F.col(f"{end}_label") if f"{end}_label" in triples.columns else F.lit("concept")
+
+
+def _names(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None = None) -> DataFrame:
+    """(name, id, label, surface, contested): contested is a name that some use expects under another label."""
+    first = F.min_by(F.struct("label", "text"), "first").alias("f")
+    names = _uses(chunks, mentions, triples).withColumn("name", tx.normal_name(F.col("text"))).groupBy("name").agg(first, F.collect_set("hint").alias("hints"))
+    return names.select(
+        "name", F.concat(F.lit("entity::"), F.col("f.label"), F.lit("::"), F.col("name")).alias("id"), F.col("f.label").alias("label"), tx.strip(F.col("f.text")).alias("surface"),
+        F.exists("hints", lambda h: ~h.eqNullSafe(F.col("f.label"))).alias("contested"),
+    )
+
+
 def resolve_names(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None = None) -> DataFrame:
     """(name, id, label, surface): the node of each entity name.
 
     The first to use a name gives it its label and spelling for good. Chunks come in order of ``ord``;
     within one, mentions precede triple ends, which are concepts, subject before object.
     """
-    used = mentions.select("chunk_id", F.lit(0).alias("kind"), "pos", F.lit(0).alias("side"), "text", "label")
-    if triples is not None:
-        for side, end in enumerate(("subject", "object")):
-            used = used.unionByName(triples.select("chunk_id", F.lit(1).alias("kind"), "pos", F.lit(side).alias("side"), F.col(end).alias("text"), F.lit("concept").alias("label")))
-    used = used.join(chunks.select("chunk_id", "ord"), "chunk_id")
-    first = F.min_by(F.struct("label", "text"), F.struct("ord", "kind", "pos", "side")).alias("f")
-    names = used.withColumn("name", tx.normal_name(F.col("text"))).groupBy("name").agg(first)
-    return names.select("name", F.concat(F.lit("entity::"), F.col("f.label"), F.lit("::"), F.col("name")).alias("id"), F.col("f.label").alias("label"), tx.strip(F.col("f.text")).alias("surface"))
+    return _names(chunks, mentions, triples).drop("contested")
 
 
-def build(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None = None, cooccurrence: bool = True) -> tuple[DataFrame, DataFrame]:
+def build(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None = None, cooccurrence: bool = True, keep: Callable[..., DataFrame] = lambda df, *by: df) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``chunks`` (chunk_id, doc_id, page_index, ord), their mentions and triples.
 
     There is one edge per pair and key: mentions and co-occurrences are idempotent, of several relations
-    between two entities the last one stays. Ends of triples are not mentioned by their chunk.
+    between two entities the last one stays. Ends of triples are not mentioned by their chunk. ``keep`` writes
+    a table once, in folders by a column, as the names are read by several parts. A mention's node follows from its own
+    label but for contested names, so mentions are not shuffled where these are few.
     """
-    names = resolve_names(chunks, mentions, triples)
+    names = keep(_names(chunks, mentions, triples), "contested")
     blank = lambda n, kind: F.lit(None).cast(kind).alias(n)
     nodes = chunks.select(F.col("doc_id").alias("id"), F.lit("document").alias("ntype"), blank("label", "string"), blank("name", "string"), blank("doc_id", "string"), blank("page_index", "int")).distinct()
     nodes = nodes.unionByName(chunks.select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("ntype"), blank("label", "string"), blank("name", "string"), F.col("doc_id").cast("string").alias("doc_id"), F.col("page_index").cast("int").alias("page_index")))
     nodes = nodes.unionByName(names.select("id", F.lit("entity").alias("ntype"), "label", F.col("surface").alias("name"), blank("doc_id", "string"), blank("page_index", "int")))
-    key = names.select("name", F.col("id").alias("entity"))
-    placed = mentions.withColumn("name", tx.normal_name(F.col("text"))).join(key, "name").select("chunk_id", "pos", "entity")
+    contested = names.filter("contested").select("name", "id")
     plain = lambda df, k: df.select("src", "dst", F.lit(k).alias("key"), blank("relation", "string"), blank("chunk_id", "string"))
+
+    def at(df: DataFrame, name: str, hint: str, out: str) -> DataFrame:
+        """``df`` with the node of a name as ``out``."""
+        known = contested.select(F.col("name").alias(name), F.col("id").alias("found"))
+        return df.join(known, name, "left").withColumn(out, F.coalesce("found", F.concat(F.lit("entity::"), F.col(hint), F.lit("::"), F.col(name)))).drop("found")
+
+    named = lambda m: F.struct(tx.normal_name(m["text"]).alias("name"), m["pos"].alias("pos"), m["label"].alias("label"))
+    once = lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["name"].eqNullSafe(x["name"]))
+    rows = _listed(mentions).select("chunk_id", F.transform("said", named).alias("said"))
+    each = rows.select("chunk_id", F.explode(_bound(F.array_sort("said"), once)).alias("m")).select(F.col("chunk_id").alias("src"), "m.name", "m.label").filter("name is not null")
     edges = plain(chunks.select(F.col("doc_id").alias("src"), F.col("chunk_id").alias("dst")).distinct(), "HAS_CHUNK")
-    edges = edges.unionByName(plain(placed.select(F.col("chunk_id").alias("src"), F.col("entity").alias("dst")).distinct(), "MENTIONS"))
+    edges = edges.unionByName(plain(at(each, "name", "label", "dst"), "MENTIONS"))
     if cooccurrence:
-        edges = edges.unionByName(plain(cooccurring(placed), "CO_OCCURS"))
+        pairs = cooccurring(rows).filter("a is not null and b is not null")
+        edges = edges.unionByName(plain(at(at(pairs, "a", "a_label", "src"), "b", "b_label", "dst").select("src", "dst").distinct(), "CO_OCCURS"))
     if triples is not None:
-        ends = triples.withColumn("s", tx.normal_name(F.col("subject"))).withColumn("o", tx.normal_name(F.col("object")))
-        ends = ends.join(key.select(F.col("name").alias("s"), F.col("entity").alias("src")), "s").join(key.select(F.col("name").alias("o"), F.col("entity").alias("dst")), "o")
-        ends = ends.join(chunks.select("chunk_id", "ord"), "chunk_id")
+        ends = _within(chunks, triples).withColumn("s", tx.normal_name(F.col("subject"))).withColumn("o", tx.normal_name(F.col("object")))
+        ends = ends.withColumn("s_label", _hint(triples, "subject")).withColumn("o_label", _hint(triples, "object")).filter("s is not null and o is not null")
+        ends = at(at(ends, "s", "s_label", "src"), "o", "o_label", "dst")
         last = ends.groupBy("src", "dst").agg(F.max_by(F.struct("relation", "chunk_id"), F.struct("ord", "pos")).alias("l"))
         edges = edges.unionByName(last.select("src", "dst", F.lit("RELATES").alias("key"), F.col("l.relation").alias("relation"), F.col("l.chunk_id").alias("chunk_id")))
     return nodes, edges
 
 
-def cooccurring(placed: DataFrame) -> DataFrame:
-    """Ordered pairs of entities of one chunk, earlier first, once overall; one name under two labels loops.
+def cooccurring(rows: DataFrame) -> DataFrame:
+    """(a, a_label, b, b_label): ordered pairs of a chunk's names, earlier first; one name under two labels loops.
 
     Pairs are made inside the chunk's row, so a frequent entity is not joined with itself over all chunks.
     """
-    rows = placed.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "entity"))).alias("e"))
-    each = rows.select("e", F.posexplode("e").alias("i", "a"))
-    pairs = each.select(F.col("a.entity").alias("src"), F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
-    return pairs.select("src", F.col("b.entity").alias("dst")).distinct()
+    by_place = F.array_sort(F.transform("said", lambda m: F.struct(m["pos"].alias("pos"), m["name"].alias("name"), m["label"].alias("label"))))
+    each = rows.select(by_place.alias("e")).select("e", F.posexplode("e").alias("i", "x"))
+    pairs = each.select("x", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("y"))
+    return pairs.select(F.col("x.name").alias("a"), F.col("x.label").alias("a_label"), F.col("y.name").alias("b"), F.col("y.label").alias("b_label"))
 
 
 def entity_frequency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -205,8 +261,8 @@ def reached_documents(nodes: DataFrame, ranked: DataFrame) -> DataFrame:
 def relation_paths(nodes: DataFrame, edges: DataFrame, linked: DataFrame, most: int = MOST_PATHS) -> DataFrame:
     """(qid, pos, path): relations that leave a query's anchors, by anchor's rank and then target's name."""
     target = nodes.filter("ntype = 'entity'").select(F.col("id").alias("dst"), F.col("name").alias("target"))
-    out = edges.filter("relation is not null").join(target, "dst")
-    hits = linked.join(out, linked["entity"] == out["src"])
+    out = edges.filter("relation is not null").select("src", "dst", "relation")
+    hits = linked.join(out, linked["entity"] == out["src"]).join(target, "dst")
     order = Window.partitionBy("qid").orderBy("rank", "target", "dst")
     paths = hits.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
     return paths.select("qid", "pos", tx.path_text(F.col("surface"), F.col("relation"), F.col("target")).alias("path"))

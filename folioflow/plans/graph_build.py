@@ -93,4 +93,4 @@ class GraphBuild:
         done = self.ledger.read().select("chunk_id")
         committed = lambda table: table.read().join(done, "chunk_id", "left_semi")
         triples = committed(self.triples) if self.config.kg.use_llm_relations else None
-        return graph.build(self.ledger.read(), committed(self.mentions), triples, self.config.kg.cooccurrence)
+        return graph.build(self.ledger.read(), committed(self.mentions), triples, self.config.kg.cooccurrence, keep=stored)
