@@ -11,7 +11,7 @@ def write_whole(pieces: list[bytes | DataFrame], path: str, skip: int = 0) -> No
     """One file at ``path``, put in place at the end: bytes, and the rows (value string) of tables, a line each.
 
     The executors write the lines in parallel; the parts are then copied one after the other, byte by byte
-    through the file system, so the driver holds no row of them. The first ``skip`` bytes of each table are
+    through the file system, so the driver holds no row of them; they are zipped, and go once copied. The first ``skip`` bytes of each table are
     left out: rows may begin with a separator.
     """
     spark = next(p for p in pieces if isinstance(p, DataFrame)).sparkSession
@@ -21,20 +21,23 @@ def write_whole(pieces: list[bytes | DataFrame], path: str, skip: int = 0) -> No
     try:
         for k, piece in enumerate(pieces):
             if isinstance(piece, DataFrame):
-                piece.write.text(f"{parts}/{k}")
+                piece.write.text(f"{parts}/{k}", compression="gzip")
         out = fs.create(at(f"{parts}/whole"))
         for k, piece in enumerate(pieces):
             if isinstance(piece, bytes):
                 out.write(bytearray(piece))
                 continue
             left = skip
+            unzip = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
             found = [s for s in fs.listStatus(at(f"{parts}/{k}")) if s.getPath().getName().startswith("part-") and s.getLen()]
             for name in sorted(s.getPath().toString() for s in found):
-                part = fs.open(at(name))
-                part.seek(left)
-                left = 0
+                part = unzip.getCodec(at(name)).createInputStream(fs.open(at(name)))
+                if left and part.read() >= 0:  # a zipped part without rows isn't empty
+                    jvm.org.apache.hadoop.io.IOUtils.skipFully(part, left - 1)
+                    left = 0
                 jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
                 part.close()
+                fs.delete(at(name), False)
         out.close()
         fs.delete(at(path), True)
         fs.rename(at(f"{parts}/whole"), at(path))
