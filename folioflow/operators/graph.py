@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 LEAST_NAME, FREQUENCY_CAP, MOST_ANCHORS, MOST_PATHS = 4, 40, 8, 10
+#: Queries of a block, about, in which they are numbered by 16 bits.
+BLOCK = 16_384
 
 
 def distinct_mentions(found: DataFrame) -> DataFrame:
     """Entities of all windows of a chunk (chunk_id, window, pos, text, label, score): first of each name and label.
 
-    Blank names drop out; positions are numbered anew in order of appearance.
+    Blank names drop out; positions are numbered anew in order of appearance. Mentions may come as a list ``said``
+    (window, pos, text, label, score) in their chunk's row; then they stay in it, and nothing is shuffled.
     """
+    if "said" in found.columns:
+        named = F.transform("said", lambda m: F.struct(tx.normal_name(m["text"]).alias("name"), *[m[c].alias(c) for c in ("label", "window", "pos", "text", "score")]))
+        again = lambda s, x, i: (i > 0) & F.get(s, i - 1)["name"].eqNullSafe(x["name"]) & F.get(s, i - 1)["label"].eqNullSafe(x["label"])
+        firsts = _bound(F.sort_array(F.filter(named, lambda m: m["name"] != "")), lambda s: F.filter(s, lambda x, i: ~again(s, x, i)))
+        placed = F.sort_array(F.transform(firsts, lambda m: F.struct(*[m[c].alias(c) for c in ("window", "pos", "text", "label", "score")])))
+        return found.withColumn("said", F.transform(placed, lambda m, i: F.struct(i.alias("pos"), *[m[c].alias(c) for c in ("text", "label", "score")])))
     named = found.withColumn("name", tx.normal_name(F.col("text"))).filter("name <> ''")
     first = named.groupBy("chunk_id", "name", "label").agg(F.min(F.struct("window", "pos", "text", "score")).alias("f"))
     order = Window.partitionBy("chunk_id").orderBy("f.window", "f.pos")
@@ -96,7 +105,7 @@ def build(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None = No
     nodes = chunks.select(F.col("doc_id").alias("id"), F.lit("document").alias("ntype"), blank("label", "string"), blank("name", "string"), blank("doc_id", "string"), blank("page_index", "int")).distinct()
     nodes = nodes.unionByName(chunks.select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("ntype"), blank("label", "string"), blank("name", "string"), F.col("doc_id").cast("string").alias("doc_id"), F.col("page_index").cast("int").alias("page_index")))
     nodes = nodes.unionByName(names.select("id", F.lit("entity").alias("ntype"), "label", F.col("surface").alias("name"), blank("doc_id", "string"), blank("page_index", "int")))
-    contested = names.filter("contested").select("name", "id")
+    contested = keep(names.filter("contested").select("name", "id"))  # of its own, so that its size is known
     plain = lambda df, k: df.select("src", "dst", F.lit(k).alias("key"), blank("relation", "string"), blank("chunk_id", "string"))
 
     def at(df: DataFrame, name: str, hint: str, out: str) -> DataFrame:
@@ -107,7 +116,7 @@ def build(chunks: DataFrame, mentions: DataFrame, triples: DataFrame | None = No
     named = lambda m: F.struct(tx.normal_name(m["text"]).alias("name"), m["pos"].alias("pos"), m["label"].alias("label"))
     once = lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["name"].eqNullSafe(x["name"]))
     rows = _listed(mentions).select("chunk_id", F.transform("said", named).alias("said"))
-    each = rows.select("chunk_id", F.explode(_bound(F.array_sort("said"), once)).alias("m")).select(F.col("chunk_id").alias("src"), "m.name", "m.label").filter("name is not null")
+    each = rows.select("chunk_id", F.explode(_bound(F.sort_array("said"), once)).alias("m")).select(F.col("chunk_id").alias("src"), "m.name", "m.label").filter("name is not null")
     edges = plain(chunks.select(F.col("doc_id").alias("src"), F.col("chunk_id").alias("dst")).distinct(), "HAS_CHUNK")
     edges = edges.unionByName(plain(at(each, "name", "label", "dst"), "MENTIONS"))
     if cooccurrence:
@@ -143,8 +152,8 @@ def entity_frequency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def anchor_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(entity, name, surface, freq) of entities fit to anchor a query: four characters, in 1 to 40 chunks."""
     named = nodes.filter("ntype = 'entity'").select(F.col("id").alias("entity"), tx.normal_name(F.col("name")).alias("name"), F.col("name").alias("surface"))
-    fit = entity_frequency(nodes, edges).filter(F.col("freq").between(1, FREQUENCY_CAP))
-    return named.filter(F.char_length("name") >= LEAST_NAME).join(fit, "entity")
+    counts = edges.filter("key = 'MENTIONS'").groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("freq"))
+    return named.filter(F.char_length("name") >= LEAST_NAME).join(counts.filter(F.col("freq").between(1, FREQUENCY_CAP)), "entity")
 
 
 def link_entities(anchors: DataFrame, queries: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
@@ -230,18 +239,23 @@ def reached_entities(nodes: DataFrame, edges: DataFrame, linked: DataFrame, hops
     ``implied`` two entities of one chunk are neighbours, as if co-occurrence edges stood in the table; their
     number is quadratic in a chunk's entities, and the search needs the frontier's only.
     """
-    frontier = linked.select("qid", F.col("entity").alias("node"), F.lit(0).alias("dist")).distinct()
+    entities = nodes.filter("ntype = 'entity'").select(F.col("id").alias("entity"))
+    return _reached(edges, linked, hops, implied).join(entities, "entity", "left_semi").select("qid", "entity", "dist")
+
+
+def _reached(edges: DataFrame, linked: DataFrame, hops: int, implied: bool, keep: Callable[..., DataFrame] = lambda df, *by: df) -> DataFrame:
+    """``reached_entities``, with chunks and documents under way among them. With ``keep`` each frontier's size is known."""
+    frontier = keep(linked.select("qid", F.col("entity").alias("node"), F.lit(0).alias("dist")).distinct())
     known, plain = frontier, edges.select("src", "dst")
     mention = edges.filter("key = 'MENTIONS'").select(F.col("src").alias("chunk"), F.col("dst").alias("entity"))
     for d in range(1, hops + 1):
-        step = neighbours(frontier.select("qid", "node"), plain)
+        step = neighbours(frontier.select("qid", "node"), plain) if d < hops else _beside(frontier.select("qid", "node"), edges)
         if implied:
-            at = frontier.join(mention, frontier["node"] == mention["entity"]).select("qid", "chunk").distinct()
+            at = keep(frontier.join(mention, frontier["node"] == mention["entity"]).select("qid", "chunk").distinct())
             step = step.unionByName(at.join(mention, "chunk").select("qid", F.col("entity").alias("node")))
-        frontier = step.distinct().join(known.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("dist", F.lit(d))
+        frontier = keep(step.distinct().join(known.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("dist", F.lit(d)))
         known = known.unionByName(frontier)
-    entities = nodes.filter("ntype = 'entity'").select(F.col("id").alias("node"))
-    return known.join(entities, "node", "left_semi").select("qid", F.col("node").alias("entity"), "dist")
+    return known.select("qid", F.col("node").alias("entity"), "dist")
 
 
 def ranked_chunks(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -252,6 +266,28 @@ def ranked_chunks(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order))
 
 
+def best_chunks(edges: DataFrame, linked: DataFrame, hops: int, k: int, implied: bool, keep: Callable[..., DataFrame] = lambda df, *by: df) -> DataFrame:
+    """The k best of ``ranked_chunks`` of what ``reached_entities`` gives, where nearly every chunk is reached by nearly every query.
+
+    A mention goes to its chunk once, with the list of the queries that reach its entity; (query, mention) pairs are only made
+    and counted where the chunk is put together, and not shuffled. Few (query, chunk) rows leave a task. ``keep`` writes
+    a table that is read several times.
+    """
+    reached = _reached(edges, linked, hops, implied, keep)
+    # Queries as short numbers in blocks, since the lists are what is shuffled.
+    asked = keep(linked.select("qid").distinct())
+    block = F.pmod(F.xxhash64("qid"), F.lit(asked.count() // BLOCK + 1)).cast("int")
+    asked = keep(asked.withColumn("block", block).withColumn("no", F.row_number().over(Window.partitionBy("block").orderBy("qid")).cast("short")))
+    near = keep(reached.join(asked, "qid").groupBy("entity", "dist", "block").agg(F.collect_list("no").alias("nos")))
+    mention = edges.filter("key = 'MENTIONS'").select(F.col("src").alias("chunk_id"), F.col("dst").alias("entity"))
+    sent = mention.join(near, "entity").select("chunk_id", "dist", "block", "nos").repartition("chunk_id")
+    each = sent.select("chunk_id", "dist", "block", F.explode("nos").alias("no"))
+    scored = each.groupBy("chunk_id", "block", "no").agg(F.round(F.sum(1 / (F.col("dist") + F.lit(1.0))), 12).alias("score"))
+    order = Window.partitionBy("block", "no").orderBy(F.desc("score"), "chunk_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.join(asked, ["block", "no"]).select("qid", "chunk_id", "score", "rank")
+
+
 def top_chunks(edges: DataFrame, linked: DataFrame, hops: int, k: int, keep: Callable[..., DataFrame] = lambda df, *by: df) -> DataFrame:
     """The k best of ``ranked_chunks`` of what ``reached_entities`` gives, without scoring all chunks that are reached.
 

@@ -11,6 +11,7 @@ from ..config import Config
 from ..models import Providers
 from ..operators import answering, fusion, graph, search
 from ..schemas import CATEGORY_NAMES
+from .storage import stored
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Stores:
 class Retriever:
     def __init__(self, config: Config, stores: Stores, providers: Providers):
         self.config, self.stores, self.providers = config, stores, providers
+        self._linked: tuple[DataFrame, DataFrame] | None = None
 
     def text_channel(self, queries: DataFrame) -> DataFrame:
         """(qid, item, rank, score, source) of dense search, fused with sparse search where that is on."""
@@ -43,13 +45,17 @@ class Retriever:
             found, source = search.hybrid_topk(found, sparse, cfg.candidate_k, "chunk_id", cfg.hybrid_rrf_k), "text_hybrid"
         return found.select("qid", F.col("chunk_id").alias("item"), "rank", "score", F.lit(source).alias("source"))
 
+    def linked(self, queries: DataFrame) -> DataFrame:
+        """The anchors of ``queries``, found once for the channel and the paths."""
+        if self._linked is None or self._linked[0] is not queries:
+            self._linked = queries, stored(graph.link_entities(stored(graph.anchor_index(self.stores.nodes, self.stores.edges)), queries))
+        return self._linked[1]
+
     def graph_channel(self, queries: DataFrame) -> DataFrame:
         cfg = self.config.retrieval
-        linked = graph.link_entities(graph.anchor_index(self.stores.nodes, self.stores.edges), queries)
-        reached = graph.reached_entities(self.stores.nodes, self.stores.edges, linked, cfg.graph_hops, self.stores.implied)
-        ranked = graph.ranked_chunks(self.stores.edges, reached).filter(F.col("rank") <= cfg.candidate_k)
-        stored = ranked.join(self.stores.text.select("chunk_id"), "chunk_id", "left_semi")
-        return stored.select("qid", F.col("chunk_id").alias("item"), "rank", F.lit(0.0).alias("score"), F.lit("graph").alias("source"))
+        ranked = graph.best_chunks(self.stores.edges, self.linked(queries), cfg.graph_hops, cfg.candidate_k, self.stores.implied, stored)
+        indexed = ranked.join(self.stores.text.select("chunk_id"), "chunk_id", "left_semi")
+        return indexed.select("qid", F.col("chunk_id").alias("item"), "rank", F.lit(0.0).alias("score"), F.lit("graph").alias("source"))
 
     def image_channel(self, queries: DataFrame) -> DataFrame:
         cfg = self.config.retrieval
@@ -83,8 +89,8 @@ class Retriever:
         """(qid, position, item, score, source, payload…) for ``queries`` (qid, question): the top_k of each."""
         cfg = self.config.retrieval
         fused = fusion.fuse(self.channels(queries), cfg.rrf_k)
-        if not cfg.use_rerank:
-            fused = fusion.cut(fused, cfg.top_k)
+        # Written, so that its size is known and the items' texts aren't shuffled where it is small.
+        fused = stored(fused if cfg.use_rerank else fusion.cut(fused, cfg.top_k))
         items = fused.join(self.payload(), "item")
         if cfg.use_rerank:
             scores = items.join(queries, "qid").select("qid", "item", self.providers.rerank(F.col("question"), F.col("text")).alias("rerank"))
@@ -94,8 +100,7 @@ class Retriever:
     def paths(self, queries: DataFrame) -> DataFrame | None:
         if not (self.config.retrieval.use_graph and self.stores.nodes is not None):
             return None
-        linked = graph.link_entities(graph.anchor_index(self.stores.nodes, self.stores.edges), queries)
-        found = graph.relation_paths(self.stores.nodes, self.stores.edges, linked)
+        found = graph.relation_paths(self.stores.nodes, self.stores.edges, self.linked(queries))
         listed = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("p"))
         return listed.select("qid", F.col("p.path").alias("paths"))
 

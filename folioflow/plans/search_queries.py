@@ -147,8 +147,9 @@ def stores(spark: SparkSession, d: str, linked: bool = True) -> Stores:
         return Stores(index, image, None, None)
     chunks = text.select("chunk_id", F.col("source").alias("doc_id"), (F.col("doc_id") % 50).cast("int").alias("page_index"), F.col("doc_id").alias("ord"))
     words = F.filter(space_words(F.col("text")), lambda w: F.char_length(w) >= 7)
-    mentions = text.select("chunk_id", F.lit(0).alias("window"), F.posexplode(words).alias("pos", "text"), F.lit("method").alias("label"), F.lit(1.0).alias("score"))
-    nodes, edges = graph.build(chunks, graph.distinct_mentions(mentions), None, False, keep=stored)
+    mention = lambda w, i: F.struct(F.lit(0).alias("window"), i.alias("pos"), w.alias("text"), F.lit("method").alias("label"), F.lit(1.0).alias("score"))
+    mentions = text.select("chunk_id", F.col("doc_id").alias("ord"), F.transform(words, mention).alias("said"))
+    nodes, edges = graph.build(chunks, stored(graph.distinct_mentions(mentions)), None, False, keep=stored)
     # Whole texts hold thousands of entities, too many to list their pairs.
     return Stores(index, image, stored(nodes, "ntype"), stored(edges, "key"), implied=Config().kg.cooccurrence)
 
