@@ -59,3 +59,16 @@ def test_build_does_not_shuffle_mentions_of_a_large_table_of_names(spark, found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "Exchange hash" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_texts_are_not_shuffled_for_the_fused_candidates(spark):
+    """The candidates are found once, for the items and for the reranker, and are small enough to be sent to the texts."""
+    from folioflow.plans import search_queries
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+        plan = search_queries.retrieved(spark, "/root/testdata/sf0.001", "enhanced")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "MapInArrow" not in plan and plan.count("BroadcastHashJoin") >= 2
