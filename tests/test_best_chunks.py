@@ -72,3 +72,15 @@ def test_texts_are_not_shuffled_for_the_fused_candidates(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "MapInArrow" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_anchors_are_linked_once_for_the_channel_and_the_paths(spark, monkeypatch):
+    from folioflow.config import Config, variant
+    from folioflow.plans import retrieval, search_queries
+
+    calls, link = [], graph.link_entities
+    monkeypatch.setattr(graph, "link_entities", lambda *a: calls.append(1) or link(*a))
+    d = "/root/testdata/sf0.001"
+    system = retrieval.System(variant(Config(), "enhanced"), search_queries.stores(spark, d), search_queries.countable())
+    system.explain(search_queries.questions(spark, d))
+    assert len(calls) == 1
