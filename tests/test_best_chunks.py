@@ -49,7 +49,7 @@ def test_best_chunks_are_those_of_the_whole_ranking(spark, found, monkeypatch, h
 
 def test_build_does_not_shuffle_mentions_of_a_large_table_of_names(spark, found):
     chunks = spark.createDataFrame([(f"C{i}", f"D{i // 4}", i % 4, i) for i in range(50)], CHUNK)
-    said = stored(graph.distinct_mentions(in_rows(found.withColumn("label", F.lit("task")))).join(chunks.select("chunk_id", "ord"), "chunk_id"))
+    said = stored(graph.distinct_mentions(in_rows(found.withColumn("label", F.lit("task")).withColumn("text", F.concat("text", F.lit(" "), F.md5(F.concat("text", "chunk_id")))))).join(chunks.select("chunk_id", "ord"), "chunk_id"))
     # The table of names is taken for larger than what may be broadcast; that of contested names is empty.
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
