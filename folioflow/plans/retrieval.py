@@ -73,17 +73,17 @@ class Retriever:
             hits = hits.unionByName(fusion.tagged(self.image_channel(queries), "image", cfg.image_weight))
         return hits
 
-    def payload(self) -> DataFrame:
-        """Both indexes as evidence items; images without a caption are named by their category."""
+    def fetched(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (item, …) with its evidence, from each index; images without a caption are named by their category."""
         null = lambda n: F.lit(None).cast("string").alias(n)
         text = self.stores.text.select(F.col("chunk_id").alias("item"), "doc_id", "page_index", F.lit("text").alias("modality"), "text", "chunk_id", null("region_id"), null("crop_path"))
         if self.stores.image is None:
-            return text
+            return wanted.join(text, "item")
         names = F.create_map(*[F.lit(x) for kv in CATEGORY_NAMES.items() for x in kv])
         label = F.concat(F.lit("["), F.coalesce(F.try_element_at(names, F.col("category")), F.lit("figure")), F.lit(" region]"))
         shown = F.coalesce(F.when(F.col("caption") != "", F.col("caption")), label)
         image = self.stores.image.select(F.col("region_id").alias("item"), "doc_id", "page_index", F.lit("image").alias("modality"), shown.alias("text"), null("chunk_id"), "region_id", "crop_path")
-        return text.unionByName(image)
+        return wanted.join(text, "item").unionByName(wanted.join(image, "item"))
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """(qid, position, item, score, source, payload…) for ``queries`` (qid, question): the top_k of each."""
@@ -91,10 +91,12 @@ class Retriever:
         fused = fusion.fuse(self.channels(queries), cfg.rrf_k)
         # Written, so that its size is known and the items' texts aren't shuffled where it is small.
         fused = stored(fused if cfg.use_rerank else fusion.cut(fused, cfg.top_k))
-        items = fused.join(self.payload(), "item")
         if cfg.use_rerank:
-            scores = items.join(queries, "qid").select("qid", "item", self.providers.rerank(F.col("question"), F.col("text")).alias("rerank"))
-            items = fusion.cut(fusion.rerank(items, scores), cfg.top_k)
+            # Texts are scored where they are read; only those of the items that stay are sent on.
+            texts = self.fetched(fused.select("qid", "item")).join(queries, "qid")
+            scores = texts.select("qid", "item", self.providers.rerank(F.col("question"), F.col("text")).alias("rerank"))
+            fused = stored(fusion.cut(fusion.rerank(fused, scores), cfg.top_k))
+        items = self.fetched(fused)
         return items.select("qid", "position", "item", *answering.ITEM_FIELDS)
 
     def paths(self, queries: DataFrame) -> DataFrame | None:
