@@ -48,7 +48,7 @@ class Retriever:
     def linked(self, queries: DataFrame) -> DataFrame:
         """The anchors of ``queries``, found once for the channel and the paths."""
         if self._linked is None or self._linked[0] is not queries:
-            self._linked = queries, stored(graph.link_entities(stored(graph.anchor_index(self.stores.nodes, self.stores.edges)), queries))
+            self._linked = queries, stored(graph.link_entities(stored(graph.asked_anchors(self.stores.nodes, self.stores.edges, queries, stored)), queries))
         return self._linked[1]
 
     def graph_channel(self, queries: DataFrame) -> DataFrame:
