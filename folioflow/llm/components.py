@@ -4,7 +4,9 @@ A large star joins each node's larger neighbours to the least node around it, a
 ones; both keep components, and after a number of rounds that grows with the logarithm of the graph each
 node hangs on the least node of its component. Minima are taken map-side first, so a hub's links don't
 meet in one task; the join that hands a hub's minimum back to its links is one that adaptive execution
-can split. Each round is cut into the shared folder.
+can split. Each round is written to the shared folder as Parquet, and the round before it is deleted. A table
+from ``cut`` keeps the size estimate of the plan that made it; joins multiply estimates, so over the rounds
+the estimate would become a number of millions of digits in the driver. Files have their true size.
 
 Up to ``ONE_TASK`` links, a bound of some tens of megabytes, one executor task finds the same components
 by union and find, which spares the rounds.
@@ -18,15 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import cut, ship
+from .workspace import cut, drop_folder, shared_folder, ship
 
 ONE_TASK = 300_000
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+def _written(df: DataFrame, folders: list[str]) -> DataFrame:
+    """``df`` as a table of files in a folder of its own, which is added to ``folders``."""
+    path = shared_folder(df.sparkSession, "stars")
+    df.write.parquet(path)
+    folders.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _star(pairs: DataFrame, folders: list[str]) -> DataFrame:
     """``pairs`` of (node, neighbour) with each node's least neighbour or itself as ``least``."""
     least = pairs.groupBy("node").agg(F.min("other").alias("least"))
-    least = cut(least.select("node", F.least("node", "least").alias("least")))
+    least = _written(least.select("node", F.least("node", "least").alias("least")), folders)
     return pairs.join(least, "node")
 
 
@@ -74,15 +84,18 @@ def connected_components(links: DataFrame, rounds: int = 40, one_task: int = ONE
         kind = edges.schema["node"].dataType.simpleString()
         known = edges.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
         return cut(_with_alone(known, alone))
-    mark = None
+    mark, folders = None, []
+    edges = _written(edges, folders)
     for _ in range(rounds):  # far more than the rounds that any graph needs which fits a cluster
         both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        large = _star(both).filter("other > node").select(F.col("other").alias("node"), F.col("least").alias("other"))
-        large = cut(large.filter("node <> other").distinct())
-        star = _star(large)
+        large = _star(both, folders).filter("other > node").select(F.col("other").alias("node"), F.col("least").alias("other"))
+        large = _written(large.filter("node <> other").distinct(), folders)
+        star = _star(large, folders)
         small = star.select(F.col("other").alias("node"), F.col("least").alias("other")).filter("node <> other")
         small = small.unionByName(star.select("node", F.col("least").alias("other")))
-        edges = cut(small.distinct())
+        edges = _written(small.distinct(), folders)
+        while len(folders) > 1:
+            drop_folder(edges.sparkSession, folders.pop(0))
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             break
@@ -91,8 +104,9 @@ def connected_components(links: DataFrame, rounds: int = 40, one_task: int = ONE
         raise RuntimeError(f"components still change after {rounds} rounds")
     named = edges.select("node", F.col("other").alias("component"))
     roots = edges.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()
-    known = named.unionByName(roots)
-    return _with_alone(known, alone)
+    known = cut(_with_alone(named.unionByName(roots), alone))
+    drop_folder(edges.sparkSession, folders.pop())
+    return known
 
 
 def _with_alone(known: DataFrame, alone: DataFrame) -> DataFrame:
