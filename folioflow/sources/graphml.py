@@ -47,12 +47,62 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_whole([head.encode(), *_lines(nodes, edges), b"</graph>\n</graphml>\n"], path)
 
 
+#: A line that is one whole element, a line that declares one key, and what no other line may have for the text source to do.
+ELEMENT = r"^\s*<(node|edge)(?=[\s/>])[^<>]*+(?:(?<=/)>|>(?:\s*<data(?=[\s/>])[^<>]*+(?:(?<=/)>|>[^<]*+</data\s*+>))*+\s*</\1\s*+>)\s*$"
+KEY = r"^\s*<key(?=[\s/>])[^<>]*+(?:(?<=/)>|>(?:<default>[^<]*+</default>)?</key>)\s*$"
+OTHER = r"[<:](?:node|edge|key)(?:[\s/>]|$)|<!"
+REFERENCE = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+#: Places of a file that are looked at for line ends, and how many bytes at each.
+PROBES, PROBE = 64, 1 << 16
+
+
+def _has_lines(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a file with line ends all over it; one long line is nothing for the text source."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        return False
+    size = fs.getFileStatus(at).getLen()
+    if size <= PROBES * PROBE:
+        return True
+    stream = fs.open(at)
+    try:
+        for k in range(PROBES):
+            stream.seek((size - PROBE) * k // (PROBES - 1))
+            if b"\n" not in jvm.org.apache.commons.io.IOUtils.toByteArray(stream, PROBE):
+                return False
+        return True
+    finally:
+        stream.close()
+
+
+def _declared_by_line(spark: SparkSession, path: str) -> list[str] | None:
+    """The lines that declare keys, of a file whose elements stand on lines of their own; None for any other file."""
+    if not _has_lines(spark, path):
+        return None
+    value = F.col("value")
+    plain = (value.rlike(ELEMENT) | value.rlike(KEY) | ~value.rlike(OTHER)) & ~value.rlike(REFERENCE)
+    row = spark.read.text(path).agg(F.coalesce(F.bool_and(plain), F.lit(False)).alias("plain"), F.collect_set(F.when(value.rlike(KEY), value)).alias("keys")).first()
+    return row["keys"] if row["plain"] else None
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of GraphML, read by Spark's XML source; the driver sees the declared keys only.
+    """Nodes and edges of GraphML; the driver sees the declared keys only.
 
-    Data under keys that aren't declared, or that the graph's tables don't have, are left out.
+    A file with each element on a line of its own is read as lines, in byte ranges, and each line is parsed as XML. Any
+    other is read by Spark's XML source, which takes one task for a file. Data under keys that aren't declared, or that
+    the graph's tables don't have, are left out.
     """
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    options = {"ignoreSurroundingSpaces": "false"}
+    keys = _declared_by_line(spark, path)
+
+    def read(tag: str, schema: str) -> DataFrame:
+        if keys is None:
+            return spark.read.format("xml").options(rowTag=tag, **options).schema(schema).load(path)
+        lines = spark.createDataFrame([(k,) for k in keys], "value string") if tag == "key" else spark.read.text(path).filter(F.col("value").rlike(rf"^\s*<{tag}[\s/>]"))
+        return lines.select(F.from_xml("value", schema, options).alias("e")).select("e.*")
+
     declared = read("key", "_id string, _for string, `_attr.name` string").select("_id", "_for", F.col("`_attr.name`").alias("name")).collect()
     data = "data array<struct<_key:string,_VALUE:string>>"
 
